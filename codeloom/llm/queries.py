@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.llm.encodings import damaged_words, restore
 from codeloom.llm.near_duplicates import NearDuplicates, near_duplicates
 from codeloom.session import table
 
@@ -25,7 +26,16 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return routines_alike(spark, d).groups()
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return damaged_words(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return restore(docs, damaged_words(docs))
+
+
+QUERIES = {"p9_found": p9_found, "p9_restored": p9_restored, "p2_found": p2_found, "p2_groups": p2_groups}
 
 _ALIKE = """
 WITH e AS (SELECT id, arg_max(coalesce(name, '') || ' ' || code, updated_at) AS t FROM code_elements WHERE type IN ('function', 'method') AND code IS NOT NULL GROUP BY id),
