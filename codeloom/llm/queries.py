@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.encodings import damaged_words, restore
 from codeloom.llm.near_duplicates import NearDuplicates, near_duplicates
+from codeloom.llm.secrets import find_secrets, redact
 from codeloom.session import table
 
 ROUTINES = ("function", "method")
@@ -26,6 +27,14 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return routines_alike(spark, d).groups()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_secrets(table(spark, d, "code_elements")).where("kind <> 'continued'").select("id", "line_no").distinct()
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact(table(spark, d, "code_elements"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return damaged_words(table(spark, d, "documents")).select("doc_id").distinct()
 
@@ -35,7 +44,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return restore(docs, damaged_words(docs))
 
 
-QUERIES = {"p9_found": p9_found, "p9_restored": p9_restored, "p2_found": p2_found, "p2_groups": p2_groups}
+QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p9_found": p9_found, "p9_restored": p9_restored, "p2_found": p2_found, "p2_groups": p2_groups}
 
 _ALIKE = """
 WITH e AS (SELECT id, arg_max(coalesce(name, '') || ' ' || code, updated_at) AS t FROM code_elements WHERE type IN ('function', 'method') AND code IS NOT NULL GROUP BY id),
