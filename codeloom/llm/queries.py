@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.llm.doc_pairs import doc_pairs
 from codeloom.llm.encodings import damaged_words, restore
 from codeloom.llm.near_duplicates import NearDuplicates, near_duplicates
 from codeloom.llm.secrets import find_secrets, redact
@@ -35,6 +36,17 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
     return redact(table(spark, d, "code_elements"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return doc_pairs(table(spark, d, "code_elements")).select("id").distinct()
+
+
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """One pair per id, from its latest delivery."""
+    rows = table(spark, d, "code_elements").select("id", "type", "language", "name", "signature", "code", "docstring", "updated_at")
+    pairs = doc_pairs(rows.drop("updated_at"))
+    return pairs.groupBy("id").agg(F.max(F.struct("code", "description", "language", "name", "signature", "doc_start", "doc_end")).alias("p")).select("id", "p.*")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return damaged_words(table(spark, d, "documents")).select("doc_id").distinct()
 
@@ -44,7 +56,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return restore(docs, damaged_words(docs))
 
 
-QUERIES = {"p3_found": p3_found, "p3_redacted": p3_redacted, "p9_found": p9_found, "p9_restored": p9_restored, "p2_found": p2_found, "p2_groups": p2_groups}
+QUERIES = {"p6_found": p6_found, "p6_pairs": p6_pairs, "p3_found": p3_found, "p3_redacted": p3_redacted, "p9_found": p9_found, "p9_restored": p9_restored, "p2_found": p2_found, "p2_groups": p2_groups}
 
 _ALIKE = """
 WITH e AS (SELECT id, arg_max(coalesce(name, '') || ' ' || code, updated_at) AS t FROM code_elements WHERE type IN ('function', 'method') AND code IS NOT NULL GROUP BY id),
