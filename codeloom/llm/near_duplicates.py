@@ -21,21 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.operators.components import connected_components
+from codeloom.llm.words import K, letters, mix, word_hashes
 from codeloom.session import materialize
 
 LONG_LIST = 4096  # a list longer than this counts as long; its exact length no longer matters
-_WORD = np.zeros(256, dtype=np.uint64)
-for _c in b"abcdefghijklmnopqrstuvwxyz0123456789_":
-    _WORD[_c] = _c
-for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
-    _WORD[_c] = _c + 32
-_K = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+_WORD = letters(b"_")
 
 
 def shingle_sets(texts: pa.Array, n: int, min_tokens: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,40 +34,18 @@ def shingle_sets(texts: pa.Array, n: int, min_tokens: int) -> tuple[np.ndarray,
     Returns (row, shingle) pairs sorted by both, and for the rows that have at least
     ``min_tokens`` tokens (and one n-gram) their set key and set size; other rows have size 0.
     """
-    texts = texts.cast(pa.large_string())
     count = len(texts)
-    bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + count + 1]
     keys, sizes = np.zeros(count, dtype=np.uint64), np.zeros(count, dtype=np.int64)
-    nothing = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), keys, sizes
-    data = texts.buffers()[2]
-    if not count or data is None or bounds[-1] == bounds[0]:
-        return nothing
-    raw = _WORD[np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]]]
-    bounds = bounds - bounds[0]
-    on = raw > 0
-    first = on.copy()
-    first[1:] &= ~on[:-1]
-    heads = bounds[:-1][bounds[:-1] < bounds[1:]]
-    first[heads] |= on[heads]
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return nothing
-    at = np.flatnonzero(on)
-    token = np.cumsum(first)[at] - 1
-    place = at - starts[token]
-    power = np.cumprod(np.full(int(place.max()) + 1, _K, dtype=np.uint64))
-    value = raw[at] * power[place]
-    lead = np.flatnonzero(first[at])
-    hashed = _mix(np.add.reduceat(value, lead))
-    row = np.searchsorted(bounds, starts, side="right") - 1
+    row, hashed = word_hashes(texts, _WORD)
+    nothing = row[:0], hashed[:0], keys, sizes
     enough = np.bincount(row, minlength=count) >= min_tokens
     if len(hashed) < n:
         return nothing
     last = len(hashed) - n + 1
     gram = np.zeros(last, dtype=np.uint64)
     for i in range(n):
-        gram = gram * _K + hashed[i : i + last]
-    gram, home = _mix(gram), row[:last]
+        gram = gram * K + hashed[i : i + last]
+    gram, home = mix(gram), row[:last]
     ok = (row[n - 1 :] == home) & enough[home]
     gram, home = gram[ok], home[ok]
     order = np.lexsort((gram, home))
@@ -89,7 +57,7 @@ def shingle_sets(texts: pa.Array, n: int, min_tokens: int) -> tuple[np.ndarray,
     gram, home = gram[new], home[new]
     begin = np.flatnonzero(np.r_[True, home[1:] != home[:-1]])
     total = np.diff(np.r_[begin, len(home)])
-    keys[home[begin]] = _mix(np.add.reduceat(_mix(gram + _K), begin) + total.astype(np.uint64))
+    keys[home[begin]] = mix(np.add.reduceat(mix(gram + K), begin) + total.astype(np.uint64))
     sizes[home[begin]] = total
     return home, gram, keys, sizes
 

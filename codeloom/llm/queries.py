@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.doc_pairs import doc_pairs
 from codeloom.llm.encodings import damaged_words, restore
+from codeloom.llm.leakage import leaked_items
+from codeloom.llm.mixing import mix
 from codeloom.llm.near_duplicates import NearDuplicates, near_duplicates
 from codeloom.llm.secrets import find_secrets, redact
 from codeloom.session import table
@@ -47,6 +49,23 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("id").agg(F.max(F.struct("code", "description", "language", "name", "signature", "doc_start", "doc_end")).alias("p")).select("id", "p.*")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), window=13).where("edits = 0").select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Also passages that were changed by a word or two."""
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), window=13, max_edits=2)
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return damaged_words(table(spark, d, "documents")).select("doc_id").distinct()
 
@@ -56,7 +75,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return restore(docs, damaged_words(docs))
 
 
-QUERIES = {"p6_found": p6_found, "p6_pairs": p6_pairs, "p3_found": p3_found, "p3_redacted": p3_redacted, "p9_found": p9_found, "p9_restored": p9_restored, "p2_found": p2_found, "p2_groups": p2_groups}
+QUERIES = {"p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p6_found": p6_found, "p6_pairs": p6_pairs, "p3_found": p3_found, "p3_redacted": p3_redacted, "p9_found": p9_found, "p9_restored": p9_restored, "p2_found": p2_found, "p2_groups": p2_groups}
 
 _ALIKE = """
 WITH e AS (SELECT id, arg_max(coalesce(name, '') || ' ' || code, updated_at) AS t FROM code_elements WHERE type IN ('function', 'method') AND code IS NOT NULL GROUP BY id),
@@ -66,4 +85,11 @@ n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
 o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
 SELECT id_a, id_b FROM o JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE o * 10 >= 6 * (x.n + y.n - o)"""
 
-ORACLES: dict[str, str] = {"p2_found": _ALIKE}
+_LEAKED = """
+WITH d AS (SELECT DISTINCT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM eval_items WHERE text IS NOT NULL),
+iw AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM i WHERE len(w) >= 13),
+dw AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM d WHERE len(w) >= 13)
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)"""
+
+ORACLES: dict[str, str] = {"p2_found": _ALIKE, "p7_found": _LEAKED}
