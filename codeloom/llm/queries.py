@@ -11,11 +11,22 @@ from codeloom.llm.leakage import leaked_items
 from codeloom.llm.mixing import mix
 from codeloom.llm.near_duplicates import NearDuplicates, near_duplicates
 from codeloom.llm.secrets import find_secrets, redact
+from codeloom.llm.similar_vectors import similar_vectors
 from codeloom.session import table
 
 ROUTINES = ("function", "method")
 
 
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar other patterns of each pattern, however similar."""
+    return similar_vectors(table(spark, d, "patterns"), "id", "embedding", 96, k=5, at="last_seen")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    near = similar_vectors(table(spark, d, "patterns"), "id", "embedding", 96, k=5, least=0.80, at="last_seen")
+    return near.select(F.least("id", "other").alias("pattern_a"), F.greatest("id", "other").alias("pattern_b")).distinct()
+
+
 def routines_alike(spark: SparkSession, d: str) -> NearDuplicates:
     rows = table(spark, d, "code_elements").where(F.col("type").isin(*ROUTINES))
     text = F.concat(F.coalesce("name", F.lit("")), F.lit(" "), "code")
@@ -75,7 +86,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return restore(docs, damaged_words(docs))
 
 
-QUERIES = {"p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p6_found": p6_found, "p6_pairs": p6_pairs, "p3_found": p3_found, "p3_redacted": p3_redacted, "p9_found": p9_found, "p9_restored": p9_restored, "p2_found": p2_found, "p2_groups": p2_groups}
+QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p6_found": p6_found, "p6_pairs": p6_pairs, "p3_found": p3_found, "p3_redacted": p3_redacted, "p9_found": p9_found, "p9_restored": p9_restored, "p2_found": p2_found, "p2_groups": p2_groups}
 
 _ALIKE = """
 WITH e AS (SELECT id, arg_max(coalesce(name, '') || ' ' || code, updated_at) AS t FROM code_elements WHERE type IN ('function', 'method') AND code IS NOT NULL GROUP BY id),
@@ -92,4 +103,11 @@ iw AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 11), lambda k: ar
 dw AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' '))) AS g FROM d WHERE len(w) >= 13)
 SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)"""
 
-ORACLES: dict[str, str] = {"p2_found": _ALIKE, "p7_found": _LEAKED}
+_SIMILAR = """
+WITH v AS (SELECT id, CAST(arg_max(embedding, last_seen) AS DOUBLE[]) AS v FROM patterns WHERE len(embedding) = 96
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY id),
+s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM v a JOIN v b ON a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM s)
+SELECT DISTINCT least(a, b) AS pattern_a, greatest(a, b) AS pattern_b FROM r WHERE n <= 5 AND s >= 0.8"""
+
+ORACLES: dict[str, str] = {"p1_found": _SIMILAR, "p2_found": _ALIKE, "p7_found": _LEAKED}
