@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.plans import problems
+from codeloom.plans import graph, memory, problems
 
-MODULES = [problems]
+MODULES = [problems, graph, memory]
 
 
 def queries() -> dict:
