@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.plans import graph, memory, problems
+from codeloom.plans import graph, indexing, memory, problems, review, search
 
-MODULES = [problems, graph, memory]
+MODULES = [problems, graph, memory, search, review, indexing]
 
 
 def queries() -> dict:
