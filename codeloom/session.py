@@ -9,9 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
+_OWN: dict[str, str] = {}  # folders of sessions that name none
+
+
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g", shared: str | None = None) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("codeloom")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -19,8 +22,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_me
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,8 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
-        conf = "file://" + tempfile.mkdtemp(prefix="codeloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", conf)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="codeloom-shared-")
+        conf = _OWN[app]
     return conf
 
 
