@@ -70,7 +70,7 @@ def read_as(word: str, cipher: str) -> str | None:
         if not all(c < "\x80" or ord(c) in table for c in word):
             return None
         raw = word.translate(table)
-        if true == "utf_8" and raw[-1:] in ("\xc2", "\xc3"):
+        if true == "utf_8" and raw[-1:] in ("\xc2", "\xc3") and raw[-2:-1].islower():
             raw += "\xa0"  # white space that followed was normalized
         try:
             word = raw.encode("latin_1").decode(true)
@@ -103,10 +103,12 @@ class Model:
         self.cache: dict[tuple[str, str], float] = {}
 
     def step(self, a: str, b: str) -> float:
+        """Log frequency of a bigram among all of them. Not conditional on its first letter: a cipher keeps
+        conditional frequencies, but damaged text stays rare beside the clean text, however much there is."""
         got = self.cache.get((a, b))
         if got is None:
-            back = (self.right[b] + 0.01) / (self.total + 500)
-            got = self.cache[a, b] = log((self.bigrams.get((a, b), 0.0) + 2.0 * back) / (self.left[a] + 2.0))
+            chance = min(1.0, self.left[a] * self.right[b] / self.total)
+            got = self.cache[a, b] = log((self.bigrams.get((a, b), 0.0) + 0.3 * chance + 1e-3) / self.total)
         return got
 
     def weigh(self, word: str) -> float:
@@ -204,8 +206,7 @@ def learn_readings(words: DataFrame, rounds: int = 2) -> DataFrame:
     At the start, letters are known from the words that no damage to UTF-8 could have made.
 
     What comes to the driver between rounds are bigrams (at most the square of the number
-    of distinct characters; those seen once are dropped, as they carry no evidence) and one
-    number per source and cipher.
+    of distinct characters) and one number per source and cipher.
     """
     distinct = materialize(words.groupBy("source", "word").agg(F.count("*").alias("n")), "words")
     sure = distinct.mapInPandas(partial(_start, alphabet=None), _READ).where(F.col("cipher") == CLEAN)
@@ -213,7 +214,7 @@ def learn_readings(words: DataFrame, rounds: int = 2) -> DataFrame:
     alphabet = {r.b for r in letters.collect()}
     read = materialize(distinct.mapInPandas(partial(_start, alphabet=alphabet), _READ), "readings")
     for _ in range(rounds):
-        rows = read.mapInPandas(_count_bigrams, "a string, b string, n double").groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1").collect()
+        rows = read.mapInPandas(_count_bigrams, "a string, b string, n double").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
         bigrams = {(r.a, r.b): r.n for r in rows}
         shares = {(r.source, r.cipher): float(r.n) for r in read.groupBy("source", "cipher").agg(F.sum("n").alias("n")).collect()}
         read = materialize(distinct.mapInPandas(partial(_readings, bigrams=bigrams, shares=shares), _READ), "readings")
@@ -223,12 +224,18 @@ def learn_readings(words: DataFrame, rounds: int = 2) -> DataFrame:
 def damaged_words(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", min_odds: float = 0.0) -> DataFrame:
     """``doc_id, word, cipher, reading`` for every word of a document that a wrong decoding made.
 
-    Cipher ``lossy`` marks words that hold a replacement for a lost character; their
+    One row per document and word, however often a document is delivered. Cipher ``lossy`` marks words that hold a replacement for a lost character; their
     reading is the word itself. Null and empty texts give no row; a null source is a source.
     """
     words = materialize(words_of(documents, doc_id, text, source), "docwords")
     learned = learn_readings(words).where((F.col("cipher") != CLEAN) & (F.col("odds") > min_odds))
-    return words.join(learned.select("source", "word", "cipher", "reading"), ["source", "word"]).select("doc_id", "word", "cipher", "reading")
+    found = materialize(words.join(learned.select("source", "word", "cipher", "reading"), ["source", "word"]).select("doc_id", "word", "cipher", "reading").distinct(), "damaged")
+    # A cipher of one byte a letter leaves no structure in a word, nor does a single character of two:
+    # these are believed where they explain several words of a text.
+    true = F.substring_index("cipher", ">", 1)
+    weak = true.isin(SINGLE) | (true.isin(MULTI) & (F.length("reading") < 3))
+    several = found.where(weak).groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
+    return found.where(~weak).unionByName(found.where(weak).join(several, "doc_id", "left_semi"))
 
 
 @F.pandas_udf(T.StringType())
