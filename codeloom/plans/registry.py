@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.plans import graph, indexing, memory, problems, review, search
+from codeloom.plans import extraction, graph, indexing, memory, problems, review, search
 
-MODULES = [problems, graph, memory, search, review, indexing]
+MODULES = [problems, graph, memory, search, review, indexing, extraction]
 
 
 def queries() -> dict:

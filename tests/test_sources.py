@@ -31,3 +31,12 @@ def test_incremental_index(spark, tmp_path):
     write_table(spark.createDataFrame([("a", 1)], "k string, v int"), str(tmp_path / "out"), ["k"])
     write_table(spark.createDataFrame([("b", 2)], "k string, v int"), str(tmp_path / "out"), ["k"])
     assert rows(spark.read.parquet(str(tmp_path / "out")), "k", "v") == [("a", 1), ("b", 2)]
+
+
+def test_glob_suppressions(spark):
+    from codeloom.operators.extract import suppress_by_glob
+
+    found = spark.createDataFrame([("src/a.py", "R1"), ("tests/a+b.py", "R2"), (None, "R1")], "file string, rule_id string")
+    rules = spark.createDataFrame([(None, "tests/*+b.py"), ("R9", None)], "rule_id string, glob string")
+    assert rows(suppress_by_glob(found, rules), "file", "suppressed") == [("src/a.py", False), ("tests/a+b.py", True), (None, False)]
+    assert rows(suppress_by_glob(found, rules.where("glob = 'x'")), "suppressed") == [(False,)] * 3
