@@ -20,7 +20,7 @@ from codeloom.llm.rp_forest import Forest
 from codeloom.session import materialize
 
 SAMPLE_ROWS = 20_000
-TREES, LEAVES, LEAF_ROWS = 6, 12, 200
+TREES, LEAVES, LEAF_ROWS = 8, 20, 200
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
