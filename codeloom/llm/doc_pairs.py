@@ -90,7 +90,8 @@ _TAG = re.compile(
     r"(?:parameters|returns|raises|yields|args)\s*$|[-=~^*_]{3,}\s*$)",
     re.I,
 )
-_WORD = re.compile(r"[぀-ヿ㐀-鿿가-힯]|[^\W\d_぀-ヿ㐀-鿿가-힯]+")
+_CJK = "\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af"  # scripts without spaces: a character counts as a word
+_WORD = re.compile(rf"[{_CJK}]|[^\W\d_{_CJK}]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 

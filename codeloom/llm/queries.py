@@ -19,7 +19,7 @@ ROUTINES = ("function", "method")
 
 def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar other patterns of each pattern, however similar."""
-    return similar_vectors(table(spark, d, "patterns"), "id", "embedding", 96, k=5, at="last_seen")
+    return similar_vectors(table(spark, d, "patterns"), "id", "embedding", 96, k=5, least=-1.0, at="last_seen")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -54,9 +54,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """One pair per id, from its latest delivery."""
-    rows = table(spark, d, "code_elements").select("id", "type", "language", "name", "signature", "code", "docstring", "updated_at")
-    pairs = doc_pairs(rows.drop("updated_at"))
+    """One pair per id: repeated deliveries have the same content, of others the largest pair counts."""
+    pairs = doc_pairs(table(spark, d, "code_elements"))
     return pairs.groupBy("id").agg(F.max(F.struct("code", "description", "language", "name", "signature", "doc_start", "doc_end")).alias("p")).select("id", "p.*")
 
 

@@ -62,7 +62,7 @@ _LEX = {
 _ASSIGN = {"=", ":", ":=", "=>", "||=", "??=", "||", "??"}
 _OPENING = re.compile(r"^[A-Za-z]{0,2}(\"\"\"|'''|[\"'`])")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
-_PAIR = re.compile(r"(?i)(?<![\w.-])((?:[A-Za-z][\w.-]*?)?(?:pass\w*|pwd|pw|secrets?|token|keys?|credentials?|auth\w*|pem|jwt))[\"']?\s*(?:=|:(?!//))\s*[\"'`]?([^\s\"'`,;)}\]]+)")
+_PAIR = re.compile(r"(?i)(?<![\w./+-])((?:[A-Za-z][\w.-]*?)?(?:pass\w*|pwd|pw|secrets?|token|keys?|credentials?|auth\w*|pem|jwt))[\"']?\s*(?:=|:(?!//))\s*[\"'`]?([^\s\"'`,;)}\]]+)")
 _LINE = re.compile(r"^[ \t]*(?:export[ \t]+|-[ \t]+)?[\"']?([A-Za-z_][\w.-]*)[\"']?[ \t]*[=:][ \t]*(?:\"((?:\\.|[^\"\\\n])*)\"?|'([^'\n]*)'?|([^\s#;,][^\n]*?))[ \t]*,?[ \t]*(?:[ \t][#;][^\n]*)?$", re.M)
 _TAIL = r"(?:[_-]?(?:value|default|str|string|raw|plain|prod|dev|staging|test|local|old|new|current|copy|backup|[0-9]+))*[\"'`\]]*\s*(?:[:=,(|?]|\w+\s*=)"
 #: What a text must hold for each rule to look at it; linear-time patterns, run over whole columns.
@@ -99,7 +99,7 @@ def credential_name(name: str) -> bool:
 def secret_value(v: str) -> bool:
     """Whether a literal can be a live secret: not a placeholder, reference, plain word, sentence, path or URL."""
     v = _SCHEME.sub("", v.strip())
-    if len(v) < 6 or re.search(r"\s", v) or "://" in v or v.startswith(("/", "./", "-----BEGIN")) or len(set(v)) < 4 or _PLACEHOLDER.search(v):
+    if len(v) < 6 or re.search(r"\s", v) or "://" in v or "-----" in v or v.startswith(("/", "./")) or len(set(v)) < 4 or _PLACEHOLDER.search(v):
         return False
     digit, letter = re.search(r"\d", v), re.search(r"[A-Za-z]", v)
     if digit and letter:
