@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 
 def latest(rows: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
-    """One row per key: the one with the largest version; among equal versions the largest row.
+    """One row per key: the one with the largest version; among equal versions a hash of the row decides.
 
     A map-side combined aggregate, so that a key delivered many times never gathers its
     rows in one task. Rows with a null key are dropped; a null version is the oldest.
     """
     rest = [c for c in rows.columns if c not in keys]
-    order = F.struct(F.col(version), F.to_json(F.struct(*[F.col(c) for c in rest if c != version])))
+    order = F.struct(F.col(version), F.xxhash64(*rest))
     some = rows.dropna(subset=list(keys))
     return some.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*")
 
