@@ -33,7 +33,8 @@ from codeloom.session import materialize
 SINGLE = ["cp1252", "cp1251", "cp1250", "koi8_r", "cp866", "iso8859_2", "iso8859_5", "cp437", "cp850", "cp852", "mac_roman"]
 MULTI = ["euc_jp", "cp932", "gb18030", "big5", "euc_kr"]
 SEEN_AS = ["cp1252", "latin_1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp866", "koi8_r", "iso8859_2", "iso8859_5", "cp852", "cp1254"]
-LOST = "�"
+LOST = "\ufffd"
+WORDS_PER_TASK = 5_000
 CLEAN, LOSSY = "clean", "lossy"
 
 
@@ -121,7 +122,7 @@ class Model:
 
 def _plain(word: str) -> bool:
     """Readings that text does not have: unassigned, private or control characters."""
-    return not any("\x7f" <= c < "\xa0" or "" <= c <= "" or c in "�﻿" for c in word)
+    return not any("\x7f" <= c < "\xa0" or "\ue000" <= c <= "\uf8ff" or c in "\ufffd\ufeff" for c in word)
 
 
 def best_reading(word: str, source: str, model: Model, names: list[str]) -> tuple[str, str, float]:
@@ -209,6 +210,9 @@ def learn_readings(words: DataFrame, rounds: int = 2) -> DataFrame:
     of distinct characters) and one number per source and cipher.
     """
     distinct = materialize(words.groupBy("source", "word").agg(F.count("*").alias("n")), "words")
+    # Few bytes, much work: spread by the number of words, not by their size.
+    parts = max(2 * words.sparkSession.sparkContext.defaultParallelism, distinct.count() // WORDS_PER_TASK)
+    distinct = distinct.repartition(parts, "source", "word")
     sure = distinct.mapInPandas(partial(_start, alphabet=None), _READ).where(F.col("cipher") == CLEAN)
     letters = sure.mapInPandas(_count_bigrams, "a string, b string, n double").groupBy("b").agg(F.sum("n").alias("n")).where("n > 1 and b > '\x7f'")
     alphabet = {r.b for r in letters.collect()}
