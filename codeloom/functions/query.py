@@ -87,9 +87,8 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z_]+)"), 1), lambda x: F.length(x) > 2))
 
 
-def expanded(text: Column) -> Column:
-    """The terms of a text with the synonyms of each, in either direction, sorted."""
-    own = terms(text)
+def expanded(own: Column) -> Column:
+    """Terms (a column computed before, as it is used often) with the synonyms of each, in either direction, sorted."""
     more = [F.when(F.array_contains(own, k), F.array(*map(F.lit, v))) for k, v in SYNONYMS.items()]
     more += [F.when(F.arrays_overlap(own, F.array(*map(F.lit, [x for x in v if " " not in x]))), F.array(F.lit(k))) for k, v in SYNONYMS.items()]
     empty = F.array().cast("array<string>")

@@ -50,14 +50,19 @@ def _queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", "text").distinct()
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Queries with a column per intent: each pattern is tried once, whatever is built on the scores."""
+    return _queries(spark, d).select("doc_id", "text", *[c.alias(k) for k, c in q.intent_scores(F.col("text")).items()])
+
+
 def intent_classify(spark: SparkSession, d: str) -> DataFrame:
-    scores = q.intent_scores(F.col("text"))
-    name, conf = q.intent(scores)
-    return _queries(spark, d).select("doc_id", name.alias("intent"), F.round(conf, 6).alias("confidence"))
+    name, conf = q.intent({k: F.col(k) for k in q.INTENTS})
+    return _scored(spark, d).select("doc_id", name.alias("intent"), F.round(conf, 6).alias("confidence"))
 
 
 def expand_terms(spark: SparkSession, d: str) -> DataFrame:
-    return _queries(spark, d).select("doc_id", F.explode(q.expanded(F.col("text"))).alias("term"))
+    own = _queries(spark, d).select("doc_id", q.terms(F.col("text")).alias("own"))
+    return own.select("doc_id", F.explode(q.expanded(F.col("own"))).alias("term"))
 
 
 def ambiguity(spark: SparkSession, d: str) -> DataFrame:
@@ -71,8 +76,8 @@ def dynamic_threshold(spark: SparkSession, d: str) -> DataFrame:
 
 def query_confidence(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
-    _, conf = q.intent(q.intent_scores(text))
-    rows = _queries(spark, d).select("doc_id", "text", conf.alias("_c"), F.size(q.terms(text)).alias("n_terms"), (F.size(q.ambiguous_terms(text)) > 0).alias("is_ambiguous"))
+    _, conf = q.intent({k: F.col(k) for k in q.INTENTS})
+    rows = _scored(spark, d).select("doc_id", "text", conf.alias("_c"), F.size(q.terms(text)).alias("n_terms"), (F.size(q.ambiguous_terms(text)) > 0).alias("is_ambiguous"))
     return rows.select("doc_id", "n_terms", "is_ambiguous", q.query_confidence(text, F.col("_c"), F.col("n_terms"), F.col("is_ambiguous")).alias("confidence"))
 
 
