@@ -225,21 +225,37 @@ def learn_readings(words: DataFrame, rounds: int = 2) -> DataFrame:
     return read
 
 
+def _letters(word: str) -> Column:
+    """A word without case and without what stands around its letters."""
+    return F.lower(F.regexp_replace(word, r"^[^\p{L}]+|[^\p{L}]+$", ""))
+
+
 def damaged_words(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", min_odds: float = 0.0) -> DataFrame:
     """``doc_id, word, cipher, reading`` for every word of a document that a wrong decoding made.
 
     One row per document and word, however often a document is delivered. Cipher ``lossy`` marks words that hold a replacement for a lost character; their
     reading is the word itself. Null and empty texts give no row; a null source is a source.
+
+    A word under a weak cipher (one byte a letter, or less than three letters of several bytes) is
+    believed if another word of its text was damaged too, if its reading stands undamaged elsewhere
+    in the corpus (three letters at least), or if its odds are beyond chance: above the number of
+    distinct words times the number of ciphers (under several bytes a letter: and its reading stands
+    elsewhere). Odds hold the cipher's share in the source.
     """
     words = materialize(words_of(documents, doc_id, text, source), "docwords")
-    learned = learn_readings(words).where((F.col("cipher") != CLEAN) & (F.col("odds") > min_odds))
-    found = materialize(words.join(learned.select("source", "word", "cipher", "reading"), ["source", "word"]).select("doc_id", "word", "cipher", "reading").distinct(), "damaged")
-    # A cipher of one byte a letter leaves no structure in a word, nor does a single character of two:
-    # these are believed where they explain several words of a text.
+    read = learn_readings(words)
+    learned = read.where((F.col("cipher") != CLEAN) & (F.col("odds") > min_odds)).select("source", "word", "cipher", "reading", "odds")
+    found = materialize(words.join(learned, ["source", "word"]).groupBy("doc_id", "word", "cipher", "reading").agg(F.max("odds").alias("odds")), "damaged")
+    # A cipher of one byte a letter leaves no structure in a word, nor does a single character of two.
     true = F.substring_index("cipher", ">", 1)
     weak = true.isin(SINGLE) | (true.isin(MULTI) & (F.length("reading") < 3))
-    several = found.where(weak).groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
-    return found.where(~weak).unionByName(found.where(weak).join(several, "doc_id", "left_semi"))
+    several = found.where(F.col("cipher") != LOSSY).groupBy("doc_id").agg(F.countDistinct("word").alias("_n")).where("_n > 1").select("doc_id", F.lit(True).alias("_several"))
+    known = read.where(F.col("cipher") == CLEAN).select(_letters("word").alias("_letters")).where("_letters <> ''").distinct().withColumn("_known", F.lit(True))
+    chance = log(max(1, read.count()) * len(ciphers()))  # odds that so many trials may reach by chance
+    unsure = found.where(weak).withColumn("_letters", _letters("reading")).join(several, "doc_id", "left").join(known, "_letters", "left")
+    rare = (F.col("odds") > chance) & (true.isin(SINGLE) | F.col("_known"))  # several bytes a letter: the shorter reading alone raises the odds
+    believed = unsure.where(rare | F.col("_several") | (F.col("_known") & (F.length("_letters") > 2)))
+    return found.where(~weak).unionByName(believed.select(*found.columns)).drop("odds")
 
 
 @F.pandas_udf(T.StringType())

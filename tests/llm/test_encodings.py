@@ -27,6 +27,16 @@ def test_found_and_restored(spark):
     assert fixed[9007] == "l�schen und weiter" and fixed[9008] == CLEAN[5]
 
 
+def test_one_word_under_a_weak_cipher(spark):
+    bad = [(9001, "see " + wrong("zależność", "iso8859_2", "cp1252"), "docs"), (9002, "alone: " + wrong("błędów", "cp1250", "cp1252") + ", " + wrong("błędów", "cp1250", "cp1252") + ",", None), (9003, "and " + wrong("Каждая", "koi8_r", "cp1251"), "docs")]
+    bad += [(9004, "new " + wrong("запише", "cp1251", "cp1252"), "docs"), (9005, wrong("größere", "utf-8", "cp1252") + " next to " + wrong("błędów", "cp1250", "cp1252"), "docs")]
+    good = [(8001, "ÓRFÃ", "docs"), (8002, "± 5 °C", "docs"), (8003, "£20 ¿no?", None), (8004, "naïve façade", "docs"), (8005, "crème brûlée", "docs")]
+    docs = corpus(spark, bad + good)
+    words = damaged_words(docs)
+    fixed = {r.doc_id: r.text for r in restore(docs, words).collect()}
+    assert fixed == {9001: "see zależność", 9002: "alone: błędów, błędów,", 9003: "and Каждая", 9004: "new запише", 9005: "größere next to błędów"}
+
+
 def test_no_damage_and_empty(spark):
     assert rows(damaged_words(corpus(spark, []))) == []
     assert rows(damaged_words(corpus(spark, []).where("doc_id < 0"))) == []
