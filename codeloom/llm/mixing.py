@@ -29,19 +29,31 @@ def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("doc_id", "source", "copy_of")), pa.array(n, pa.int64())], ["doc_id", "source", "copy_of", "n_tokens"])
 
 
-def sized_texts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def sized_texts(documents: DataFrame, tokenizer: str = TOKENIZER, goal: DataFrame | None = None) -> DataFrame:
     """``doc_id, source, n_tokens``: one record per distinct text, counted in tokens of a public tokenizer.
 
     The record with the smallest id stands for all copies of its text, so that no text can
     be used more often than its record. Sources are compared without outer spaces and in
     lower case. Null and empty texts have no tokens and are left out. Only a digest of each
     text is shuffled.
+
+    With a ``goal`` (``source, target_share, max_repeats``, a row per source) copies in other
+    sources, or in none, are left out first. Of the copies left, those in sources that may be
+    used (share and cap above zero) come first, then the smallest id: a text that several such
+    sources share belongs to the source of its smallest id among them.
     """
     rows = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim("source")).alias("source"), F.sha2(F.col("text"), 256).alias("copy_of"), F.col("text").alias("text")
     ).where("text is not null and text <> '' and doc_id is not null")
+    usable = F.lit(True)
+    if goal is not None:
+        rows = rows.join(F.broadcast(goal.select("source")), "source", "left_semi")
     counted = rows.mapInArrow(partial(_count, path=tokenizer), "doc_id long, source string, copy_of string, n_tokens long")
-    return counted.groupBy("copy_of").agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("t")).select("t.*").where("n_tokens > 0")
+    if goal is not None:
+        counted = counted.join(F.broadcast(goal), "source")  # a row per target
+        usable = F.coalesce((F.col("target_share") > 0) & (F.col("max_repeats") > 0), F.lit(False))
+    first = F.min(F.struct((~usable).alias("unused"), "doc_id", "source", "n_tokens")).alias("t")
+    return counted.groupBy("copy_of").agg(first).select("t.doc_id", "t.source", "t.n_tokens").where("n_tokens > 0")
 
 
 def water_fill(sizes: dict[str, float], targets: dict[str, float], caps: dict[str, float], total: float | None = None) -> dict[str, float]:
@@ -77,10 +89,10 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: float | None
     share`` for every source with a target (share 0 where there is nothing to take). Only one
     number per source comes to the driver.
     """
-    sized = materialize(sized_texts(documents, tokenizer), "sized")
     goal = targets.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").where("source is not null").groupBy("source").agg(
         F.max("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats")
     )
+    sized = materialize(sized_texts(documents, tokenizer, goal), "sized")
     sums = goal.join(sized.groupBy("source").agg(F.sum("n_tokens").alias("size")), "source", "left").collect()
     sizes = {r.source: float(r["size"] or 0) for r in sums}
     epochs = water_fill(sizes, {r.source: float(r.target_share or 0) for r in sums}, {r.source: float(r.max_repeats or 0) for r in sums}, total_tokens)

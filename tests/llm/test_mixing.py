@@ -39,3 +39,16 @@ def test_fractions_and_empty_tables(spark):
     shares = {r.source: r.share for r in mix(docs, goals)[1].collect()}
     assert abs(shares["a"] - 0.8) < 0.02
     assert rows(mix(docs.where("doc_id < 0"), goals)[0]) == [] and rows(mix(docs, goals.where("source = 'q'"))[0]) == []
+
+
+@pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer here")
+def test_copies_in_sources_without_target(spark):
+    docs = [(1, "one shared text", "z"), (2, "one shared text", "b"), (3, "text without a source", None), (4, "text without a source", "A"), (5, "text of a source of no share", "zero"), (6, "text of a source of no share", "a")]
+    docs += [(7, "text of two targets", "b"), (8, "text of two targets", "a"), (9, "text of no target", "z"), (10, "only in a source of no share", "zero")]
+    docs = spark.createDataFrame([(*x, "", 1) for x in docs], SCHEMA)
+    goals = spark.createDataFrame([("a", 0.5, 5, ""), ("b", 0.5, 5, ""), ("zero", 0.0, 5, "")], TARGETS)
+    chosen, shares = mix(docs, goals)
+    size = {r.source: r.size_tokens for r in shares.collect()}
+    sized = {r.doc_id: r.n_tokens for r in sized_texts(docs.where("doc_id in (2, 4, 6, 7, 10)")).collect()}
+    assert size == {"a": sized[4] + sized[6], "b": sized[2] + sized[7], "zero": sized[10]}
+    assert {r.doc_id for r in chosen.collect()} <= {2, 4, 6, 7}
