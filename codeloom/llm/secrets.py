@@ -23,6 +23,12 @@ CREDENTIAL_WORDS = {"password", "passwd", "passphrase", "passcode", "pass", "pwd
 KEY_KINDS = {"api", "access", "secret", "service", "encryption", "deploy", "private", "signing", "auth", "master", "account", "client", "storage", "app", "crypto", "ssh", "license", "webhook", "session", "admin"}
 TRAILING = {"value", "default", "str", "string", "raw", "plain", "prod", "dev", "staging", "test", "local", "old", "new", "current", "copy", "backup"}
 LOGIN_CALLS = {"login", "log_in", "signin", "sign_in", "authenticate", "connect", "auth", "logon"}
+# First words of calls that look a credential up or make one, from a name or other input.
+LOOKUPS = {"get", "read", "fetch", "load", "find", "lookup", "look", "resolve", "retrieve", "query", "list", "has", "is", "delete", "remove", "revoke", "create", "make", "generate", "issue", "parse", "expect", "next"}
+# Calls that return the literal in another type or encoding, and the types whose new, from and of do so.
+CONVERSIONS = {"byte", "bytes", "bytearray", "str", "string", "some", "ok", "strdup", "encode", "b64decode", "atob", "fromhex", "unhexlify"}
+MAKERS = {"new", "from", "from_str", "fromstring", "of", "ofnullable", "valueof", "wrap"}
+HOLDERS = {"string", "cstring", "str", "bytes", "bytestring", "buffer", "box", "rc", "arc", "cow", "vec", "zeroizing", "secretstring", "secretvec", "secretbox", "optional", "option", "array", "uint8array"}
 # Formats of keys that are known by their look.
 FORMATS = [
     ("aws", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
@@ -69,9 +75,9 @@ _TAIL = r"(?:[_-]?(?:value|default|str|string|raw|plain|prod|dev|staging|test|lo
 TRIGGERS = {
     "named": r"(?i)(?:passw(?:or)?d|passphrase|passcode|pass|pwd|pw|secrets?|token|credentials?|authorization|auth|pem|jwt|bearer|(?:"
     + "|".join(sorted(KEY_KINDS))
-    + r")[_.-]?keys?)"
+    + r")[_.-]?keys?)s?"
     + _TAIL
-    + r"|(?:log_?in|logon|sign_?in|authenticate|connect)\s*\(\s*[\"'`]",
+    + r"|(?:log_?in|logon|sign_?in|authenticate|connect)\s*\(",
     "known": r"(?:AKIA|ASIA)[A-Z0-9]{4}|gh[pousr]_[A-Za-z0-9]{4}|github_pat_|glpat-|xox[abeoprs]-|[sr]k_(?:live|test)_|AIza[A-Za-z0-9_-]{4}|npm_[A-Za-z0-9]{8}|SG\.[A-Za-z0-9]|eyJ[A-Za-z0-9_-]{4}",
     "block": r"PRIVATE KEY(?: BLOCK)?-----",
     "url": r"://[^\s/@\"'`]*:[^\s/@\"'`]+@",
@@ -170,6 +176,7 @@ def _literals(code: str, lexer: re.Pattern, at: int) -> Iterator[Span]:
     """Literals assigned or passed to credential-named identifiers."""
     toks = [(m.lastgroup, m.start(), m.end()) for m in lexer.finditer(code)]
     text = [code[s:e] for _, s, e in toks]
+    opener = _openers(text)
     i, n = 0, len(toks)
     while i < n:
         kind, s, e = toks[i]
@@ -196,7 +203,7 @@ def _literals(code: str, lexer: re.Pattern, at: int) -> Iterator[Span]:
                 break
         value = "".join(code[x:y] for x, y in pieces)
         spans = [(at + x, at + y) for x, y in pieces]
-        if _named(code, toks, text, i) and secret_value(value):
+        if _named(code, toks, text, i, j, opener) and secret_value(value):
             yield spans[0][0], spans[0][1], "assigned"
             yield from ((x, y, "continued") for x, y in spans[1:])
         else:
@@ -210,39 +217,120 @@ def _literals(code: str, lexer: re.Pattern, at: int) -> Iterator[Span]:
     return
 
 
-def _named(code: str, toks: list, text: list[str], i: int) -> bool:
-    """Whether the string token i is given to something named like a credential."""
-    k = i - 1
-    if k >= 0 and text[k] == "(":
-        if k and text[k - 1] == "!" and k > 1 and text[k - 2] == "concat":
-            k -= 3
+def _openers(text: list[str]) -> list[int]:
+    """For every token the bracket around it, -1 for none."""
+    out, stack = [], [-1]
+    for k, t in enumerate(text):
+        if t in (")", "]", "}") and len(stack) > 1:
+            stack.pop()
+        out.append(stack[-1])
+        if t in ("(", "[", "{"):
+            stack.append(k)
+    return out
+
+
+def _path(toks: list, text: list[str], k: int) -> tuple[list[str], int]:
+    """Names of the path (a.b, a::b, a().b) that ends at token k, last first, and the token before it."""
+    names = [text[k]]
+    k -= 1
+    while k > 0:
+        at = k - 1 if text[k] == "." else k - 2 if text[k] == ":" and text[k - 1] == ":" else -1
+        if at > 0 and text[at] == ")" and text[at - 1] == "(":
+            at -= 2
+        if at < 0 or toks[at][0] != "name":
+            break
+        names.append(text[at])
+        k = at - 1
+    return names, k - 1 if k >= 0 and text[k] == "new" else k
+
+
+def _setter(names: list[str]) -> bool:
+    """Whether a call takes a credential: named like one in any case, or made by a type of such a name; no look-up."""
+    name = names[0]
+    if name.lower() in MAKERS and len(names) > 1:
+        return credential_name(names[1]) and names[1][0].isupper()
+    if not credential_name(name) or name.lower() in LOGIN_CALLS:
+        return False
+    return name[0].isupper() or _WORDS.findall(name)[0].lower() not in LOOKUPS
+
+
+def _listed(name: str) -> bool:
+    """Whether a list of this name holds credentials: also plurals, of 'token' only with a word of its kind."""
+    if credential_name(name):
+        return True
+    words = [w.lower() for w in _WORDS.findall(name)]
+    return name[-1:] in ("s", "S") and credential_name(name[:-1]) and (words[-1] != "tokens" or any(w in KEY_KINDS for w in words[:-1]))
+
+
+def _assigned(code: str, toks: list, text: list[str], k: int, holds=credential_name) -> bool:
+    """Whether the operator k assigns to something named like a credential."""
+    line, k = k, k - 1
+    while k >= 0 and text[k] not in (",", "(", "{", ";") and "\n" not in code[toks[k][2] : toks[line][1]]:
+        if toks[k][0] == "name" and holds(text[k]):
+            return True
+        if toks[k][0] == "string":
+            a, b = _content(code, toks[k][1], toks[k][2])
+            if holds(code[a:b]) and not re.search(r"\s", code[a:b]):
+                return True
+        line, k = k, k - 1
+    return False
+
+
+def _list_start(toks: list, text: list[str], k: int) -> int:
+    """The token before a list that the bracket k opens ([..., vec![..., []string{..., (... after an assignment); -1 if it opens none."""
+    if k > 1 and text[k] == "[" and text[k - 1] == "!" and text[k - 2] == "vec":
+        return k - 3
+    if k > 2 and text[k] == "{" and toks[k - 1][0] == "name" and text[k - 2] == "]":
+        at = k - 3
+        while at >= 0 and text[at] != "[":
+            at = at - 1 if toks[at][0] != "string" and text[at] not in ("(", ")", "{", "}", ";") else -1
+        return at - 1 if at > 0 else -1
+    while k > 0 and text[k] in ("[", "{", "(", "&"):
+        k -= 1
+    return k if text[k] in _ASSIGN else -1
+
+
+def _named(code: str, toks: list, text: list[str], i: int, after: int, opener: list[int]) -> bool:
+    """Whether the string token i (its last piece before token ``after``) is given to something named like a credential."""
+    k, nested, holds = i - 1, i, credential_name
+    while k >= 0 and text[k] == "(":
+        if k > 1 and text[k - 1] == "!" and text[k - 2] == "concat":
+            k, nested = k - 3, k - 2
         elif k and text[k - 1] in _ASSIGN:
+            if after < len(toks) and text[after] == ",":
+                holds = _listed
             k -= 1
         elif k and toks[k - 1][0] == "name":
-            return credential_name(text[k - 1]) and text[k - 1].lower() not in LOGIN_CALLS and text[k - 1][0].isupper()
+            names, before = _path(toks, text, k - 1)
+            if _setter(names):
+                pair = after + 1 < len(toks) and text[after] == "," and toks[after + 1][0] == "string"  # a name and its value
+                return names[0][0].isupper() or not pair
+            first = names[0].lower()
+            if not (first in CONVERSIONS or (first in MAKERS and len(names) > 1 and names[1].lower() in HOLDERS)):
+                return False
+            k, nested = before, k - 1
+            if k > 0 and text[k] == "]" and text[k - 1] == "[":  # []byte(
+                k -= 2
+        else:
+            break
     while k >= 0 and text[k] in ("&", "*"):
         k -= 1
     if k < 0:
         return False
-    if text[k] == ",":
-        if k < 1 or toks[k - 1][0] != "string":
-            return False
+    if text[k] == "," and k > 0 and toks[k - 1][0] == "string":
         a, b = _content(code, toks[k - 1][1], toks[k - 1][2])
         if credential_name(code[a:b]) and not re.search(r"\s", code[a:b]):
             return True
-        return k > 2 and text[k - 2] == "(" and text[k - 3].lower() in LOGIN_CALLS
-    if text[k] not in _ASSIGN:
+    if text[k] in (",", "[", "{", "("):
+        around = opener[nested] if text[k] == "," else k
+        if text[k] == "," and around > 0 and text[around] == "(" and toks[around - 1][0] == "name":  # a later argument
+            names, _ = _path(toks, text, around - 1)
+            return names[0].lower() in LOGIN_CALLS or _setter(names)
+        if around >= 0 and (after >= len(toks) or text[after] not in (":", "=>", "=")):
+            start = _list_start(toks, text, around)
+            return start >= 0 and text[start] in _ASSIGN and _assigned(code, toks, text, start, _listed)
         return False
-    line, k = k, k - 1
-    while k >= 0 and text[k] not in (",", "(", "{", ";") and "\n" not in code[toks[k][2] : toks[line][1]]:
-        if toks[k][0] == "name" and credential_name(text[k]):
-            return True
-        if toks[k][0] == "string":
-            a, b = _content(code, toks[k][1], toks[k][2])
-            if credential_name(code[a:b]) and not re.search(r"\s", code[a:b]):
-                return True
-        line, k = k, k - 1
-    return False
+    return text[k] in _ASSIGN and _assigned(code, toks, text, k, holds)
 
 
 def find(code: str, language: str | None = None, file: str | None = None, kind: str | None = None, rules: frozenset[str] = ALL) -> list[Span]:

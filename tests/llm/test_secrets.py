@@ -1,6 +1,7 @@
+import pyarrow as pa
 import pytest
 
-from codeloom.llm.secrets import credential_name, find, find_secrets, mask, redact, secret_value
+from codeloom.llm.secrets import _spans, credential_name, find, find_secrets, mask, redact, secret_value
 from tests.conftest import rows
 
 POSITIVE = [
@@ -46,6 +47,41 @@ def test_no_secret(language, code):
     assert find(code, language) == []
 
 
+@pytest.mark.parametrize(
+    "language,code,found",
+    [
+        ("python", 'client.set_password("S3cr3tPass9")', ["S3cr3tPass9"]),
+        ("python", 'set_password(user, "S3cr3tPass9")', ["S3cr3tPass9"]),
+        ("javascript", "setToken('a1b2c3d4e5');", ["a1b2c3d4e5"]),
+        ("go", 'jwtSecret := []byte("s3cr3tKeyValue99")', ["s3cr3tKeyValue99"]),
+        ("rust", 'let token = String::from("s3cr3tKeyValue99");', ["s3cr3tKeyValue99"]),
+        ("rust", 'let token: Option<String> = Some(String::from("s3cr3tKeyValue99"));', ["s3cr3tKeyValue99"]),
+        ("javascript", "const secret = Buffer.from('s3cr3tKeyValue99');", ["s3cr3tKeyValue99"]),
+        ("rust", 'f(Password::new("s3cr3tKeyValue99"));', ["s3cr3tKeyValue99"]),
+        ("python", 'login(user, "S3cret-99")', ["S3cret-99"]),
+        ("python", 'login(conf["user"], f(x, 1), "S3cret-99")', ["S3cret-99"]),
+        ("python", 'api_keys = ["a1b2c3d4", "e5f6g7h8"]', ["a1b2c3d4", "e5f6g7h8"]),
+        ("python", 'passwords = (\n    "a1b2c3d4",\n    "e5f6g7h8",\n)', ["a1b2c3d4", "e5f6g7h8"]),
+        ("go", 'apiKeys := []string{"a1b2c3d4", "e5f6g7h8"}', ["a1b2c3d4", "e5f6g7h8"]),
+        ("rust", 'let api_keys = vec!["a1b2c3d4", "e5f6g7h8"];', ["a1b2c3d4", "e5f6g7h8"]),
+        ("python", 'password = get_secret("prod-db-1")', []),
+        ("python", 'token = readToken("slot-17-b")', []),
+        ("python", 'password = config["db1-pass-name"]', []),
+        ("python", 'token = cache.lookup("slot-17-b")', []),
+        ("rust", 'let token = Regex::new("[a-z0-9]+").unwrap();', []),
+        ("python", 'tokens = ["ident17", "number9"]', []),
+        ("python", 'passwords = {"user17": x, "user18": y}', []),
+        ("python", 'f(user, "S3cret-99")', []),
+    ],
+)
+def test_calls_wrappers_and_lists(language, code, found):
+    assert [code[s:e] for s, e, _ in find(code, language)] == found
+    assert [x for x in found if x in mask(code, find(code, language))] == []
+    if found:
+        df = pa.RecordBatch.from_pydict({"id": ["a"], "code": [code], "language": [language], "file": ["a"], "type": ["function"]})
+        assert list(_spans(df)) == [0]  # the pre-screen lets it pass
+
+
 def test_config_lines():
     env = "export A=b\nexport API_KEY=eikd-gblv6axy-z1415poz7qku\nPWD=\"changeme\"\nREFRESH_TOKEN=${API_KEY}\nDB_PASSWORD='wedge1990#raw' # note\n"
     assert [env.count("\n", 0, s) + 1 for s, _, _ in find(env, "dotenv", "a.env", "file")] == [2, 5]
