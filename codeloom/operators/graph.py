@@ -92,6 +92,24 @@ def call_chains(edges: DataFrame, pairs: DataFrame, max_depth: int = 3, most: in
     return out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("src", "dst", "hops", F.array_join("path", ">").alias("path"))
 
 
+def chains_from(edges: DataFrame, starts: DataFrame, max_depth: int = 5, most: int = 10) -> DataFrame:
+    """``src, dst, hops, path``: from each start to every node it reaches, the first ``most`` simple chains, shortest first, then by path.
+
+    Every beginning of a simple chain is a simple chain to its own end, so that all chains
+    carried are results or are passed over for shorter ones; no goal is carried along.
+    """
+    step = materialize(edges.select(F.col("src").alias("node"), F.col("dst").alias("_n")).distinct().where("node <> _n"), "steps")
+    out, walks = None, starts.select(F.col(starts.columns[0]).alias("src")).distinct().select("src", F.array("src").alias("path"), F.col("src").alias("node"))
+    for hops in range(1, max_depth + 1):
+        walks = walks.join(step, "node").where(~F.array_contains("path", F.col("_n"))).select("src", F.concat("path", F.array("_n")).alias("path"), F.col("_n").alias("node"))
+        if hops < max_depth:
+            walks = materialize(walks, "walks")
+        part = walks.select("src", F.col("node").alias("dst"), F.lit(hops).alias("hops"), "path")
+        out = part if out is None else out.unionByName(part)
+    order = Window.partitionBy("src", "dst").orderBy("hops", "path")
+    return out.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most).select("src", "dst", "hops", F.array_join("path", ">").alias("path"))
+
+
 def impact(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``id, direct, transitive, impact``: min(1, (direct callers + distinct callers within two hops) / 50) for all nodes.
 

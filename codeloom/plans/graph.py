@@ -101,12 +101,19 @@ def trace_flow(spark: SparkSession, d: str) -> DataFrame:
 
 
 def call_chains(spark: SparkSession, d: str) -> DataFrame:
-    """All ways of up to three calls from each caller to each of its callees, the first ten for each pair."""
+    """All ways of up to three calls from each caller to each of its callees, the first ten for each pair; ``call_chains_from`` has other ends and longer chains."""
     e, _ = graph(spark, d)
     calls = materialize(e.where("rel_type = 'CALLS' and src <> dst").select("src", "dst"), "calls")
     return g.call_chains(calls, calls, 3, 10)
 
 
+def call_chains_from(spark: SparkSession, d: str) -> DataFrame:
+    """All ways of up to five calls from a twentieth of the callers (by a hash of the id) to every node they reach, the first ten for each pair."""
+    e, _ = graph(spark, d)
+    calls = materialize(e.where("rel_type = 'CALLS' and src <> dst").select("src", "dst"), "calls")
+    return g.chains_from(calls, calls.select("src").where(F.conv(F.substring(F.md5("src"), 1, 8), 16, 10).cast("long") % 20 == 0), 5, 10)
+
+
 def count_nodes(spark: SparkSession, d: str) -> DataFrame:
     return nodes(spark, d).groupBy("node_type").agg(F.count("*").alias("n"))
 
@@ -155,10 +162,18 @@ def _deg(then: str) -> str:
 _FLOW = "SELECT ed.{near} AS node_id, '{side}' AS side, ed.{far} AS other_id, nd.name, nd.file FROM ed JOIN nd ON nd.id = ed.{far} WHERE ed.rel_type = 'CALLS'"
 _BOTH = _FLOW.format(near="dst", far="src", side="caller") + " UNION ALL " + _FLOW.format(near="src", far="dst", side="callee")
 
+_GROWN = "".join(f", w{n} AS (SELECT w.src, c.dst, {n} AS hops, list_append(w.path, c.dst) AS path FROM w{n - 1} w JOIN c ON c.src = w.dst WHERE NOT list_contains(w.path, c.dst))" for n in range(1, 6))
+_CHAINS = (
+    ", c AS (SELECT DISTINCT src, dst FROM ed WHERE rel_type = 'CALLS' AND src <> dst), w0 AS (SELECT DISTINCT src, src AS dst, 0 AS hops, [src] AS path FROM c WHERE CAST('0x' || substr(md5(src), 1, 8) AS BIGINT) % 20 = 0)"
+    + _GROWN
+    + " SELECT src, dst, CAST(hops AS INTEGER) AS hops, array_to_string(path, '>') AS path FROM (" + " UNION ALL ".join(f"SELECT * FROM w{n}" for n in range(1, 6)) + ")"
+    " QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY hops, path) <= 10"
+)
+
 QUERIES = {name: _hop(*args) for name, args in HOPS.items()} | {
     f.__name__: f
     for f in (
-        merged_edges, dependencies, dependents, file_contents, transitive_callers, impact_score, node_degrees, connection_tiers, blast_radius, trace_flow, call_chains,
+        merged_edges, dependencies, dependents, file_contents, transitive_callers, impact_score, node_degrees, connection_tiers, blast_radius, trace_flow, call_chains, call_chains_from,
         count_nodes, count_relationships, names_shared, cross_file_calls, elements_with_context,
     )
 }
@@ -185,6 +200,7 @@ ORACLES = {name: _hop_sql(*args) for name, args in HOPS.items()} | {
  UNION ALL SELECT p.src, p.dst, 3, concat_ws('>', p.src, a.dst, b.dst, p.dst) FROM p JOIN c a ON a.src = p.src JOIN c b ON b.src = a.dst JOIN c z ON z.src = b.dst AND z.dst = p.dst
   WHERE a.dst <> p.dst AND b.dst <> p.dst AND b.dst <> p.src AND a.dst <> p.src)
  SELECT src, dst, CAST(hops AS INTEGER) AS hops, path FROM w QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY hops, path) <= 10""").replace(") , c AS", "), c AS"),
+    "call_chains_from": over("nd", "raw", "ed", then=_CHAINS).replace(") , c AS", "), c AS"),
     "count_nodes": over("nd", then="SELECT node_type, count(*) AS n FROM nd GROUP BY 1"),
     "count_relationships": over("nd", "raw", "ed", then="SELECT k.rel_type, count(ed.src) AS n FROM (VALUES ('CALLS'), ('IMPORTS'), ('INHERITS'), ('CONTAINS'), ('USES')) k(rel_type) LEFT JOIN ed USING (rel_type) GROUP BY 1"),
     "names_shared": over("nd", then="SELECT name, count(*) AS n, min(id) AS first_id FROM nd WHERE name IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),

@@ -46,3 +46,12 @@ def test_components(spark):
     got = {r.id: r.component for r in connected_components(links, "a", "b").collect()}
     assert len(got) == 43 and got["x"] == got["y"] == "x" and {got[f"c{i}"] for i in range(41)} == {"c0"}
     assert rows(connected_components(links.where("a = 'none'"), "a", "b")) == []
+
+
+def test_chains_to_all_ends(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "g"), ("c", "a"), ("a", "d"), ("x", "a"), ("a", "a")], "src string, dst string")
+    got = rows(g.chains_from(e, spark.createDataFrame([("a",)], "src string")), "dst", "hops", "path")
+    assert got == sorted([("b", 1, "a>b"), ("c", 2, "a>b>c"), ("d", 1, "a>d"), ("d", 3, "a>b>c>d"), ("e", 2, "a>d>e"), ("e", 4, "a>b>c>d>e"), ("f", 3, "a>d>e>f"), ("f", 5, "a>b>c>d>e>f"), ("g", 4, "a>d>e>f>g")])
+    two = [("s", f"m{i:02}") for i in range(12)] + [(f"m{i:02}", "t") for i in range(12)]
+    first = g.chains_from(spark.createDataFrame(two, "src string, dst string"), spark.createDataFrame([("s",)], "src string")).where("dst = 't'")
+    assert rows(first, "path") == [(f"s>m{i:02}>t",) for i in range(10)]
