@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import groupby
 from math import log
 
 import pandas as pd
@@ -61,15 +62,35 @@ def to_bytes(page: str) -> dict[int, str]:
     return table
 
 
+def _runs_read(word: str, table: dict[int, str]) -> str | None:
+    """A word of which the page holds a part only: runs of its characters are read as UTF-8 where they are that; null where none is."""
+    out, changed = [], False
+    for held, run in groupby(word, lambda c: c < "\x80" or ord(c) in table):
+        piece = "".join(run)
+        if held and not piece.isascii():
+            try:
+                piece, changed = piece.translate(table).encode("latin_1").decode("utf_8"), True
+            except UnicodeError:
+                pass
+        out.append(piece)
+    return "".join(out) if changed else None
+
+
 def read_as(word: str, cipher: str) -> str | None:
-    """The word under a cipher, or null where the cipher cannot have made it."""
+    """The word under a cipher, or null where the cipher cannot have made it.
+
+    Characters outside the page stay only beside damaged UTF-8, as text without spaces may be damaged in part.
+    """
     true, page = cipher.split(">")
     times = int(true[-1]) if true.startswith("utf_8") and true[-1] in "23" else 1
     true = "utf_8" if true.startswith("utf_8") else true
     table = to_bytes(page)
     for _ in range(times):
         if not all(c < "\x80" or ord(c) in table for c in word):
-            return None
+            word = _runs_read(word, table) if true == "utf_8" else None
+            if word is None:
+                return None
+            continue
         raw = word.translate(table)
         if true == "utf_8" and raw[-1:] in ("\xc2", "\xc3") and raw[-2:-1].islower():
             raw += "\xa0"  # white space that followed was normalized

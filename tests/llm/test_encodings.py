@@ -37,6 +37,13 @@ def test_one_word_under_a_weak_cipher(spark):
     assert fixed == {9001: "see zależność", 9002: "alone: błędów, błędów,", 9003: "and Каждая", 9004: "new запише", 9005: "größere next to błędów"}
 
 
+def test_damage_in_a_part_of_a_word(spark):
+    bad = CLEAN[5] + wrong("設定", "utf-8", "cp1251") + CLEAN[5]
+    docs = corpus(spark, [(9001, bad, "docs"), (8001, CLEAN[5] + "25°C" + CLEAN[5] + "«é»" + CLEAN[5], "docs")])
+    words = damaged_words(docs)
+    assert {r.doc_id: r.text for r in restore(docs, words).collect()} == {9001: CLEAN[5] + "設定" + CLEAN[5]}
+
+
 def test_no_damage_and_empty(spark):
     assert rows(damaged_words(corpus(spark, []))) == []
     assert rows(damaged_words(corpus(spark, []).where("doc_id < 0"))) == []
