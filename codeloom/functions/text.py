@@ -27,6 +27,23 @@ def short_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, 16)
 
 
+def cut_code(c: Column, most: int = 8000) -> Column:
+    """A text of at most ``most`` characters: all before its code stays and the code is shortened; a plain cut only where that leaves the code no room."""
+    mark, end = "\nCode:\n", F.lit("\n... [truncated]")
+    text = F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+    text = F.when(text == "", "empty").otherwise(text)
+    parts = F.split(text, mark, -1)
+    head = F.element_at(parts, 1)
+    room = F.lit(most - len(mark) - 30) - F.length(head)
+    plain = F.concat(F.substring(text, 1, most - 20), end)
+    return (
+        F.when(F.length(text) <= most, text)
+        .when(F.size(parts) < 2, plain)
+        .when(room > 100, F.concat(head, F.lit(mark), F.substring(F.element_at(parts, F.least(F.lit(2), F.size(parts))), F.lit(1), room), end))
+        .otherwise(F.concat(F.substring(head, 1, most - 20), end))
+    )
+
+
 def period(c: Column | str) -> Column:
     """Calendar month of a timestamp as yyyy-MM; null stays null."""
     return F.date_format(c, "yyyy-MM")

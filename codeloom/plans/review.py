@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions.text import short_id, split_lines
+from codeloom.functions.text import cut_code, short_id, split_lines
 from codeloom.operators import review as r
 from codeloom.operators import style as st
 from codeloom.operators.graph import first_per
@@ -82,11 +82,11 @@ def content_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedding_text(spark: SparkSession, d: str) -> DataFrame:
-    """The text an element is embedded by, without control characters, cut to 8000; only its hash and length are returned."""
+    """The text an element is embedded by, without control characters; its length, its hash, and the hash of what is left when its code is cut to 8000 in all."""
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     text = F.concat_ws("\n", F.concat(F.col("type"), F.lit(": "), F.coalesce(blank("name"), F.lit("anonymous"))), F.concat(F.lit("Description: "), blank("docstring")), F.concat(F.lit("Signature: "), blank("signature")), F.concat(F.lit("Code:\n"), F.col("code")))
     text = F.regexp_replace(F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", ""), "\n{4,}", "\n\n\n")
-    return elements(spark, d, "type", "name", "docstring", "signature", "code").select("id", F.length(text).alias("length"), F.sha2(F.substring(text, 1, 8000), 256).alias("digest"))
+    return elements(spark, d, "type", "name", "docstring", "signature", "code").select("id", F.length(text).alias("length"), F.sha2(text, 256).alias("digest"), F.sha2(cut_code(text), 256).alias("cut_digest"))
 
 
 def kept_elements(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+from hashlib import sha256
 
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from codeloom.operators import parsing
 from codeloom.operators import review as r
 from codeloom.operators import upsert
 from codeloom.operators.vectors import nearest
+from codeloom.plans import review
 from tests.conftest import rows
 
 CODE = "import hashlib\nx = hashlib.md5(b'a')\n\neval(user)\nliteral_eval(y)\nyaml.load(a,\n  Loader=SafeLoader)\nyaml.load(f)\npassword = 'hunter22xyz'\nrun(\n  a, debug=True)\n{{ name }}\n{{ name | escape }}\n"
@@ -67,3 +69,15 @@ def test_nearest_with_ties_and_bad_vectors(spark):
     got = nearest(v, v.where("id = 1"), 2, 2)
     assert rows(got, "id", "distance", "similarity", "position") == [(2, 1.0, 0.5, 1), (3, 1.0, 0.5, 2)]
     assert rows(nearest(v.where("id < 0"), v.where("id = 1"), 2, 2)) == []
+
+
+def test_embedding_text_keeps_what_stands_before_the_code(spark, tmp_path):
+    schema = "id string, type string, name string, docstring string, signature string, code string, updated_at timestamp_ntz"
+    data = [("a", "function", "f", "does f", "f()", "x" * 9000 + "1"), ("b", "function", "f", "does f", "f()", "x" * 9000 + "2"), ("c", "function", "f", "d" * 9000, "f()", "x"), ("d", "function", "f", None, None, "x = 1")]
+    spark.createDataFrame([(*x, None) for x in data], schema).write.parquet(str(tmp_path / "code_elements.parquet"))
+    got = {r.id: r for r in review.embedding_text(spark, str(tmp_path)).collect()}
+    assert got["a"].digest != got["b"].digest and got["a"].cut_digest == got["b"].cut_digest
+    head = "function: f\nDescription: does f\nSignature: f()"
+    assert got["a"].cut_digest == sha256(f"{head}\nCode:\n{'x' * (8000 - len(head) - 7 - 30)}\n... [truncated]".encode()).hexdigest()
+    assert got["c"].cut_digest == sha256(f"function: f\nDescription: {'d' * 9000}"[:7980].encode() + b"\n... [truncated]").hexdigest()
+    assert got["d"].digest == got["d"].cut_digest == sha256(b"function: f\nCode:\nx = 1").hexdigest()
