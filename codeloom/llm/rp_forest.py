@@ -6,32 +6,37 @@ import heapq
 
 import numpy as np
 
+BITS = 38  # of a leaf key, for deeper splits
+
 
 class Forest:
     """Trees fitted on a bounded sample; small enough to travel to every task.
 
     Inner nodes hold a hyperplane between two groups of sampled vectors. A leaf that holds
     too many of all rows is split further by random directions through its centre
-    (``deeper``), so that leaves stay small however many rows there are.
+    (``deepen``), so that leaves stay small however many rows there are. Neighbouring leaves
+    form a grove, the unit that one task searches.
     """
 
-    def __init__(self, sample: np.ndarray, trees: int, leaf: int, seed: int = 42):
+    def __init__(self, sample: np.ndarray, trees: int, leaf: int, seed: int = 42, grove: int = 0):
         self.rng = np.random.default_rng(seed)
         self.dim = sample.shape[1]
         self.normals: list[np.ndarray] = []
         self.offsets: list[float] = []
         self.children: list[list[int]] = []  # an inner node, or -1 - leaf
         self.centres: list[np.ndarray] = []
-        self.tree_of: list[int] = []
-        self.roots = []
-        for t in range(trees):
-            self.roots.append(self._grow(sample, np.arange(len(sample)), leaf, t))
+        self.groves: list[int] = []  # of each leaf
+        self.grove = max(leaf, grove)
+        self.n_groves = 0
+        self.roots = [self._grow(sample, np.arange(len(sample)), leaf) for _ in range(trees)]
         self.w = np.array(self.normals, dtype=np.float32).reshape(-1, self.dim)
         self.b = np.array(self.offsets, dtype=np.float32)
         self.c = np.array(self.centres, dtype=np.float32).reshape(-1, self.dim)
+        self.grove_of = np.array(self.groves, dtype=np.int64)
         self.extra: dict[int, int] = {}
+        self.most: dict[int, int] = {}
         self.g = np.zeros((0, self.dim), dtype=np.float32)
-        del self.normals, self.offsets, self.centres
+        del self.normals, self.offsets, self.centres, self.groves
 
     def _split(self, x: np.ndarray) -> tuple[np.ndarray, float]:
         a, b = x[self.rng.choice(len(x), 2, replace=False)]
@@ -52,7 +57,9 @@ class Forest:
         normal /= np.linalg.norm(normal)
         return normal, float(np.median(x @ normal))
 
-    def _grow(self, x: np.ndarray, rows: np.ndarray, leaf: int, tree: int, depth: int = 0) -> int:
+    def _grow(self, x: np.ndarray, rows: np.ndarray, leaf: int, grove: int = -1, depth: int = 0) -> int:
+        if grove < 0 and len(rows) <= self.grove:
+            grove, self.n_groves = self.n_groves, self.n_groves + 1
         if len(rows) > leaf and depth < 40:
             normal, offset = self._split(x[rows])
             right = x[rows] @ normal > offset
@@ -61,10 +68,12 @@ class Forest:
                 self.normals.append(normal)
                 self.offsets.append(offset)
                 self.children.append([0, 0])
-                self.children[node] = [self._grow(x, rows[~right], leaf, tree, depth + 1), self._grow(x, rows[right], leaf, tree, depth + 1)]
+                self.children[node] = [self._grow(x, rows[~right], leaf, grove, depth + 1), self._grow(x, rows[right], leaf, grove, depth + 1)]
                 return node
         self.centres.append(x[rows].mean(0) if len(rows) else np.zeros(self.dim))
-        self.tree_of.append(tree)
+        if grove < 0:  # rows that no plane parts
+            grove, self.n_groves = self.n_groves, self.n_groves + 1
+        self.groves.append(grove)
         return -1 - (len(self.centres) - 1)
 
     def own_leaves(self, x: np.ndarray) -> np.ndarray:
@@ -79,18 +88,49 @@ class Forest:
             out[:, t] = -1 - node
         return out
 
-    def deepen(self, counts: dict[int, int], leaf: int) -> None:
-        """Split every leaf that holds more than two leaves' worth of rows into as many as it needs."""
-        self.extra = {k: int(np.ceil(np.log2(n / leaf))) for k, n in counts.items() if n > 2 * leaf}
-        most = max(self.extra.values(), default=0)
-        g = self.rng.normal(size=(most, self.dim))
-        self.g = (g / np.linalg.norm(g, axis=1, keepdims=True)).astype(np.float32) if most else np.zeros((0, self.dim), dtype=np.float32)
+    def own_keys(self, x: np.ndarray) -> np.ndarray:
+        """The keys of each row's own leaves, deeper splits included (rows by trees)."""
+        leaf = self.own_leaves(x)
+        bits, levels = np.zeros_like(leaf), np.zeros(len(self.c), dtype=np.int64)
+        for k, n in self.extra.items():
+            levels[k] = n
+        if self.extra:
+            deep, centre = x @ self.g.T, self.c @ self.g.T
+            for level in range(len(self.g)):
+                on = levels[leaf] > level
+                bits = np.where(on, bits * 2 + (deep[:, level, None] > centre[leaf, level]), bits)
+        return leaf * (1 << BITS) + bits
+
+    def deepen(self, largest: dict[int, int], leaf: int) -> bool:
+        """Split leaves further, given how many rows the largest part of each holds; whether there was anything to split.
+
+        A part of more than two leaves' worth of rows is split into as many as it needs. A leaf whose
+        last splits took nothing off its largest part holds rows of one direction and is left alone.
+        """
+        more = {k: n for k, n in largest.items() if n > 2 * leaf and n < self.most.get(k, n + 1) and self.extra.get(k, 0) < BITS - 8}
+        self.most |= largest
+        for k, n in more.items():
+            self.extra[k] = min(BITS - 8, self.extra.get(k, 0) + max(1, int(np.ceil(np.log2(n / leaf)))))
+        levels = max(self.extra.values(), default=0)
+        if levels > len(self.g):
+            g = self.rng.normal(size=(levels - len(self.g), self.dim))
+            self.g = np.concatenate([self.g, (g / np.linalg.norm(g, axis=1, keepdims=True)).astype(np.float32)])
+        return bool(more)
+
+    def grove_keys(self, keys: np.ndarray, split: int) -> np.ndarray:
+        """The grove of each leaf key: a leaf split more than ``split`` times is spread over several groves of its own."""
+        leaf = keys >> BITS
+        over = np.zeros(len(self.c), dtype=np.int64)
+        for k, n in self.extra.items():
+            over[k] = max(0, n - split)
+        up = np.array([max(0, self.extra.get(k, 0) - n) for k, n in enumerate(over)], dtype=np.int64)
+        return np.where(over[leaf] > 0, (1 << 62) | (leaf << BITS) | ((keys & ((1 << BITS) - 1)) >> up[leaf]), self.grove_of[leaf])
 
     def visits(self, x: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, leaf, own): the leaves each row visits, best first over all trees; its own ones come first.
 
         The queue holds branches of every tree, ordered by the smallest margin on the way to
-        them. Leaf keys are leaf number * 2^40 + the bits of the deeper splits.
+        them. Leaf keys are leaf number * 2^BITS + the bits of the deeper splits.
         """
         margin = x @ self.w.T - self.b
         deep = x @ self.g.T
@@ -116,7 +156,7 @@ class Forest:
                         nxt, other = (node, level + 1, bits * 2 + s), (node, level + 1, bits * 2 + 1 - s)
                     else:
                         out_row.append(i)
-                        out_leaf.append((-1 - node) * (1 << 40) + bits)
+                        out_leaf.append((-1 - node) * (1 << BITS) + bits)
                         out_own.append(own)
                         done += 1
                         break

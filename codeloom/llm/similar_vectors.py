@@ -2,8 +2,9 @@
 
 A forest of random-projection trees is fitted on a bounded sample; every vector is then
 indexed in one leaf of each tree and searches the leaves that a priority queue shared by
-all trees ranks first. Leaves meet their visitors in one shuffle; similarities of the
-candidates are exact. Vectors that are equal are searched once.
+all trees ranks first. Neighbouring leaves form groves: a vector travels once to each
+grove it visits, whatever the number of leaves there. Similarities of the candidates are
+exact. Vectors of one direction are searched once.
 """
 
 from __future__ import annotations
@@ -13,14 +14,18 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.rp_forest import Forest
+from codeloom.llm.rp_forest import BITS, Forest
 from codeloom.session import materialize
 
 SAMPLE_ROWS = 20_000
-TREES, LEAVES, LEAF_ROWS = 8, 20, 200
+TREES, LEAVES, LEAF_ROWS = 4, 20, 200
+GROVE_ROWS = 8_192  # rows of neighbouring leaves that one task holds at a time
+GRID = 2.0**-22  # directions closer than this in every component are one
+TASK_KEYS = 1_000_000  # keys a task remembers to send a class once; what it forgets is dropped where the class arrives
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -28,26 +33,52 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _normalize(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[pa.RecordBatch]:
+    """Unit vectors, and a key of each direction: components rounded to GRID, so that multiples of a vector share it."""
     for b in batches:
         x = b.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
         x = x / np.abs(x).max(axis=1, keepdims=True)
-        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([r.tobytes() for r in x], pa.binary())], ["key", "v"])
-
-
-def _coarse(batches: Iterator[pa.RecordBatch], forest: Forest, dim: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        leaf, n = np.unique(forest.own_leaves(_matrix(b.column("v"), dim)), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(n)], ["leaf", "n"])
-
-
-def _visit(batches: Iterator[pa.RecordBatch], forest: Forest, dim: int, leaves: int) -> Iterator[pa.RecordBatch]:
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        cells = (np.round(x / GRID) + 0.0).astype(np.int32)
+        keys = np.fromiter((xxhash.xxh3_64_intdigest(r.tobytes()) for r in cells), np.uint64, len(x)).view(np.int64)
+        v = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(x), [None, pa.py_buffer(x.astype(np.float32).tobytes())]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("at"), pa.array(keys), v], ["id", "at", "key", "v"])
+
+
+def _once(b: pa.RecordBatch, seen: set) -> pa.RecordBatch:
+    """The rows of keys that the task has not met yet, so that a large class leaves it as one row."""
+    new = []
+    for i, k in enumerate(b.column("key").to_pylist()):
+        if k not in seen:
+            if len(seen) < TASK_KEYS:
+                seen.add(k)
+            new.append(i)
+    return b.take(pa.array(new, pa.int64()))
+
+
+def _sizes(batches: Iterator[pa.RecordBatch], forest: Forest, dim: int) -> Iterator[pa.RecordBatch]:
+    seen: set = set()
     for b in batches:
-        for c in range(0, b.num_rows, 2048):
-            part = b.slice(c, 2048)
+        b = _once(b, seen)
+        leaf, n = np.unique(forest.own_keys(_matrix(b.column("v"), dim)), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(leaf >> BITS), pa.array(leaf), pa.array(n)], ["leaf", "part", "n"])
+
+
+def _visit(batches: Iterator[pa.RecordBatch], forest: Forest, dim: int, leaves: int, split: int) -> Iterator[pa.RecordBatch]:
+    """Each vector once per grove that it visits, with the leaves it visits there (leaf key * 2, + 1 where it lives)."""
+    seen: set = set()
+    for whole in batches:
+        whole = _once(whole, seen)
+        for c in range(0, whole.num_rows, 2048):
+            part = whole.slice(c, 2048)
             row, leaf, own = forest.visits(_matrix(part.column("v"), dim), leaves)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(~own), part.column("key").take(at), part.column("v").take(at)], ["leaf", "guest", "key", "v"])
+            grove = forest.grove_keys(leaf, split)
+            order = np.lexsort((row, grove))
+            row, grove, code = row[order], grove[order], (leaf * 2 + own)[order]
+            begin = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (grove[1:] != grove[:-1])]) if len(row) else np.zeros(0, dtype=np.int64)
+            guest = np.add.reduceat(code & 1, begin) == 0 if len(row) else np.zeros(0, dtype=bool)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(row)].astype(np.int32)), pa.array(code))
+            at = pa.array(row[begin])
+            yield pa.RecordBatch.from_arrays([pa.array(grove[begin]), pa.array(guest), part.column("key").take(at), part.column("v").take(at), lists], ["grove", "guest", "key", "v", "leaves"])
 
 
 def _best(q: np.ndarray, qk: np.ndarray, m: np.ndarray, mk: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,43 +98,78 @@ def _best(q: np.ndarray, qk: np.ndarray, m: np.ndarray, mk: np.ndarray, k: int,
     return qk[i], mk[j], exact
 
 
-def _leaf_search(batches: Iterator[pa.RecordBatch], dim: int, k: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Searches leaf by leaf over rows sorted by (leaf, guest): a leaf's members are held, its guests stream past."""
-    leaf, members, keys, ready = None, [], [], None
-
-    def out(got: tuple) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in got], ["key", "other", "similarity"])
+class _Grove:
+    """The vectors that live in a grove, leaf by leaf."""
+
+    def __init__(self, x: np.ndarray, keys: np.ndarray, leaf: np.ndarray, row: np.ndarray):
+        self.x, self.keys = x, keys
+        order = np.argsort(leaf, kind="stable")
+        names, begin = np.unique(leaf[order], return_index=True)
+        self.rows = dict(zip(names.tolist(), np.split(row[order], begin[1:])))
+
+    def search(self, x: np.ndarray, keys: np.ndarray, leaf: np.ndarray, row: np.ndarray, k: int, least: float) -> pa.RecordBatch:
+        order = np.argsort(leaf, kind="stable")
+        names, begin = np.unique(leaf[order], return_index=True)
+        got = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+        for name, rows in zip(names.tolist(), np.split(row[order], begin[1:])):
+            if name in self.rows:
+                m = self.rows[name]
+                got.append(_best(x[rows], keys[rows], self.x[m], self.keys[m], k, least))
+        q, o, s = (np.concatenate(z) for z in zip(*got))
+        order = np.lexsort((o, -s, q))
+        q, o, s = q[order], o[order], s[order]
+        new = np.r_[True, (q[1:] != q[:-1]) | (o[1:] != o[:-1])] if len(q) else np.zeros(0, dtype=bool)
+        q, o, s = q[new], o[new], s[new]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, dtype=np.int64)
+        keep = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)])) < k
+        return pa.RecordBatch.from_arrays([pa.array(z[keep]) for z in (q, o, s)], ["key", "other", "similarity"])
+
+
+def _grove_search(batches: Iterator[pa.RecordBatch], dim: int, k: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Searches grove by grove over rows sorted by (grove, guest, key): those that live there are held, guests stream past."""
+    grove, held, ready, last = None, [], None, None
 
     def settle() -> pa.RecordBatch:
         nonlocal ready
-        ready = (np.concatenate(members), np.concatenate(keys))
-        return out(_best(*ready, *ready, k, least))
+        xs, ks, ls, at = zip(*held)
+        rows = np.concatenate([a + n for a, n in zip(at, np.cumsum([0, *map(len, ks[:-1])]))])
+        x, keys, leaf = np.concatenate(xs), np.concatenate(ks), np.concatenate(ls)
+        own = leaf & 1 == 1
+        ready = _Grove(x, keys, leaf[own] >> 1, rows[own])
+        return ready.search(x, keys, leaf >> 1, rows, k, least)
 
     for b in batches:
-        l, g, ks = b.column("leaf").to_numpy(), b.column("guest").to_numpy(zero_copy_only=False), b.column("key").to_numpy()
-        x = _matrix(b.column("v"), dim)
-        cuts = np.flatnonzero((l[1:] != l[:-1]) | (g[1:] != g[:-1])) + 1
-        for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(l)]):
+        g, guest, ks = b.column("grove").to_numpy(), b.column("guest").to_numpy(zero_copy_only=False), b.column("key").to_numpy()
+        x, lists = _matrix(b.column("v"), dim), b.column("leaves")
+        ends, leaf = lists.offsets.to_numpy(), lists.values.to_numpy()
+        cuts = np.flatnonzero((g[1:] != g[:-1]) | (guest[1:] != guest[:-1])) + 1
+        for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(g)]):
             if s == e:
                 continue
-            if l[s] != leaf:
-                if members and ready is None:
-                    yield settle()
-                leaf, members, keys, ready = l[s], [], [], None
-            if not g[s]:
-                members.append(x[s:e])
-                keys.append(ks[s:e])
-            elif members:
-                if ready is None:
+            if g[s] != grove:
+                if held and ready is None:
                     yield settle()
-                yield out(_best(x[s:e], ks[s:e], *ready, k, least))
-    if members and ready is None:
+                grove, held, ready, last = g[s], [], None, None
+            new = np.r_[ks[s] != last, ks[s + 1 : e] != ks[s : e - 1]]  # classes that several tasks sent
+            last = ks[e - 1]
+            keep = np.flatnonzero(new) + s
+            n = ends[keep + 1] - ends[keep]
+            each = np.repeat(ends[keep] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            part = (x[keep], ks[keep], leaf[each], np.repeat(np.arange(len(keep)), n))
+            if not guest[s]:
+                held.append(part)
+                continue
+            if held and ready is None:
+                yield settle()
+            if ready:
+                yield ready.search(part[0], part[1], part[2] >> 1, part[3], k, least)
+    if held and ready is None:
         yield settle()
 
 
 def similar_vectors(
     vectors: DataFrame, id_col: str, vector_col: str, dim: int, *, k: int = 5, least: float = 0.0, at: str | None = None,
-    trees: int = TREES, leaves: int = LEAVES, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS, seed: int = 42,
+    trees: int = TREES, leaves: int = LEAVES, leaf_rows: int = LEAF_ROWS, grove_rows: int = GROVE_ROWS, sample_rows: int = SAMPLE_ROWS, seed: int = 42,
 ) -> DataFrame:
     """``id, other, similarity``: for each id the ``k`` most similar other ids by cosine, if at least ``least``.
 
@@ -112,8 +178,9 @@ def similar_vectors(
     Ties go to the smaller id. The search is approximate: a true neighbour that shares no
     visited leaf is missed (recall on the test data: README). The forest is fitted on
     ``sample_rows`` vectors at most; every vector is indexed and searched for, and leaves are
-    split further as the rows demand. Equal vectors form one class, so a group of copies
-    costs one search whatever its size.
+    split further as the rows demand. Vectors of one direction (components equal to within
+    GRID after normalization) form one class of similarity 1, so a group of copies or of
+    multiples of a vector costs one search whatever its size.
     """
     good = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), (F.col(at) if at else F.lit(None).cast("timestamp_ntz")).alias("at")).where(
         (F.col("id").isNotNull())
@@ -121,19 +188,26 @@ def similar_vectors(
         & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("v", lambda x: x != 0)
     )
-    latest = good.groupBy("id").agg(F.max_by("v", F.struct("at", F.xxhash64("v"))).alias("v")).withColumn("key", F.xxhash64("v"))
+    kinds = dict(good.dtypes)
+    unit = good.mapInArrow(partial(_normalize, dim=dim), f"id {kinds['id']}, at {kinds['at']}, key long, v binary")
+    latest = unit.groupBy("id").agg(F.max_by(F.struct("key", "v"), F.struct("at", "key")).alias("l")).select("id", "l.*")
     latest = materialize(latest, "vectors")
-    classes = latest.select("key", "v").dropDuplicates(["key"]).mapInArrow(partial(_normalize, dim=dim), "key long, v binary")
-    classes = materialize(classes, "classes")
-    n = classes.count()
-    chosen = classes.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / max(n, 1)))).limit(2 * sample_rows)
+    classes = latest.select("key", "v")  # several rows of a class at most once per task, and once per grove
+    n = latest.count()
+    chosen = classes.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / max(n, 1)))).dropDuplicates(["key"]).limit(2 * sample_rows)
     sample = _matrix(chosen.orderBy("key").select("v").toArrow().column("v").combine_chunks(), dim) if n else np.zeros((0, dim), dtype=np.float32)
-    forest = Forest(sample, trees, max(8, leaf_rows * len(sample) // max(n, 1)), seed)
-    counts = classes.mapInArrow(partial(_coarse, forest=forest, dim=dim), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
-    forest.deepen({r.leaf: r.n for r in counts.where(F.col("n") > 2 * leaf_rows).collect()}, leaf_rows)  # at most a row per leaf of the fitted forest
-
-    visits = classes.mapInArrow(partial(_visit, forest=forest, dim=dim, leaves=leaves), "leaf long, guest boolean, key long, v binary")
-    met = visits.repartition("leaf").sortWithinPartitions("leaf", "guest").mapInArrow(partial(_leaf_search, dim=dim, k=k, least=least), "key long, other long, similarity double")
+    share = len(sample) / max(n, 1)
+    forest = Forest(sample, trees, max(8, int(leaf_rows * share)), seed, int(grove_rows * share))
+    while True:
+        parts = classes.mapInArrow(partial(_sizes, forest=forest, dim=dim), "leaf long, part long, n long").groupBy("leaf", "part").agg(F.sum("n").alias("n"))
+        largest = parts.where(F.col("n") > 2 * leaf_rows).groupBy("leaf").agg(F.max("n").alias("n")).collect()  # at most a row per leaf of the fitted forest
+        if not forest.deepen({r.leaf: r.n for r in largest}, leaf_rows):
+            break
+
+    split = max(0, int(np.log2(max(1, grove_rows // leaf_rows))))
+    shape = "grove long, guest boolean, key long, v binary, leaves array<long>"
+    visits = classes.mapInArrow(partial(_visit, forest=forest, dim=dim, leaves=leaves, split=split), shape)
+    met = visits.repartition("grove").sortWithinPartitions("grove", "guest", "key").mapInArrow(partial(_grove_search, dim=dim, k=k, least=least), "key long, other long, similarity double")
     ranked = Window.partitionBy("key").orderBy(F.desc("similarity"), "other")
     near = met.groupBy("key", "other").agg(F.max("similarity").alias("similarity")).withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= k)
 
