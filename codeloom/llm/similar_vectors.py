@@ -22,8 +22,8 @@ from codeloom.llm.rp_forest import BITS, Forest
 from codeloom.session import materialize
 
 SAMPLE_ROWS = 20_000
-TREES, LEAVES, LEAF_ROWS = 4, 20, 200
-GROVE_ROWS = 8_192  # rows of neighbouring leaves that one task holds at a time
+TREES, LEAVES, LEAF_ROWS = 3, 24, 200
+GROVE_ROWS = 16_384  # rows of neighbouring leaves that one task holds at a time
 GRID = 2.0**-22  # directions closer than this in every component are one
 TASK_KEYS = 1_000_000  # keys a task remembers to send a class once; what it forgets is dropped where the class arrives
 
@@ -167,6 +167,20 @@ def _grove_search(batches: Iterator[pa.RecordBatch], dim: int, k: int, least: fl
         yield settle()
 
 
+def fit_forest(classes: DataFrame, dim: int, trees: int, leaf_rows: int, grove_rows: int, sample_rows: int, seed: int) -> Forest:
+    """A forest over a sample of ``key, v``, its leaves split until none holds more than two leaves' worth of all directions."""
+    n = classes.count()
+    chosen = classes.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / max(n, 1)))).dropDuplicates(["key"]).limit(2 * sample_rows)
+    sample = _matrix(chosen.orderBy("key").select("v").toArrow().column("v").combine_chunks(), dim) if n else np.zeros((0, dim), dtype=np.float32)
+    share = len(sample) / max(n, 1)
+    forest = Forest(sample, trees, max(8, int(leaf_rows * share)), seed, int(grove_rows * share))
+    while True:
+        parts = classes.mapInArrow(partial(_sizes, forest=forest, dim=dim), "leaf long, part long, n long").groupBy("leaf", "part").agg(F.sum("n").alias("n"))
+        largest = parts.where(F.col("n") > 2 * leaf_rows).groupBy("leaf").agg(F.max("n").alias("n")).collect()  # at most a row per leaf of the fitted forest
+        if not forest.deepen({r.leaf: r.n for r in largest}, leaf_rows):
+            return forest
+
+
 def similar_vectors(
     vectors: DataFrame, id_col: str, vector_col: str, dim: int, *, k: int = 5, least: float = 0.0, at: str | None = None,
     trees: int = TREES, leaves: int = LEAVES, leaf_rows: int = LEAF_ROWS, grove_rows: int = GROVE_ROWS, sample_rows: int = SAMPLE_ROWS, seed: int = 42,
@@ -193,17 +207,7 @@ def similar_vectors(
     latest = unit.groupBy("id").agg(F.max_by(F.struct("key", "v"), F.struct("at", "key")).alias("l")).select("id", "l.*")
     latest = materialize(latest, "vectors")
     classes = latest.select("key", "v")  # several rows of a class at most once per task, and once per grove
-    n = latest.count()
-    chosen = classes.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / max(n, 1)))).dropDuplicates(["key"]).limit(2 * sample_rows)
-    sample = _matrix(chosen.orderBy("key").select("v").toArrow().column("v").combine_chunks(), dim) if n else np.zeros((0, dim), dtype=np.float32)
-    share = len(sample) / max(n, 1)
-    forest = Forest(sample, trees, max(8, int(leaf_rows * share)), seed, int(grove_rows * share))
-    while True:
-        parts = classes.mapInArrow(partial(_sizes, forest=forest, dim=dim), "leaf long, part long, n long").groupBy("leaf", "part").agg(F.sum("n").alias("n"))
-        largest = parts.where(F.col("n") > 2 * leaf_rows).groupBy("leaf").agg(F.max("n").alias("n")).collect()  # at most a row per leaf of the fitted forest
-        if not forest.deepen({r.leaf: r.n for r in largest}, leaf_rows):
-            break
-
+    forest = fit_forest(classes, dim, trees, leaf_rows, grove_rows, sample_rows, seed)
     split = max(0, int(np.log2(max(1, grove_rows // leaf_rows))))
     shape = "grove long, guest boolean, key long, v binary, leaves array<long>"
     visits = classes.mapInArrow(partial(_visit, forest=forest, dim=dim, leaves=leaves, split=split), shape)

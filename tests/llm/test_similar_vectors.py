@@ -1,8 +1,9 @@
 from datetime import datetime as D
+from functools import partial
 
 import numpy as np
 
-from codeloom.llm.similar_vectors import similar_vectors
+from codeloom.llm.similar_vectors import _normalize, fit_forest, similar_vectors
 from tests.conftest import rows
 
 SCHEMA = "id string, v array<float>, at timestamp_ntz, key string, leaf int"
@@ -52,3 +53,17 @@ def test_hot_leaf_is_split(spark):
     data = {f"v{i:04d}": np.array([10.0, 0, 0, 0]) + rng.normal(size=4) * (0.01 if i % 3 == 0 else 5) for i in range(1500)}
     got = {(r.id, r.other) for r in similar_vectors(table(spark, [(i, v, None) for i, v in data.items()]), "id", "v", 4, k=5, leaf_rows=50, sample_rows=300).collect()}
     assert len(got & brute(data, 5, -1)) / 7500 >= 0.9
+
+
+def test_multiples_of_a_vector_are_one_direction(spark):
+    rng = np.random.default_rng(8)
+    one = rng.normal(size=8)
+    data = [(f"m{i:05d}", (one * (0.1 + i / 7)).astype(np.float32), None) for i in range(4000)] + [(f"o{i:05d}", rng.normal(size=8), None) for i in range(8000)]
+    t = table(spark, data)
+    unit = t.mapInArrow(partial(_normalize, dim=8), "id string, at timestamp_ntz, key long, v binary").cache()
+    assert unit.where("id < 'n'").select("key").distinct().count() < 40
+    forest = fit_forest(unit.select("key", "v").dropDuplicates(["key"]), 8, 3, 200, 4000, 2000, 42)
+    keys = forest.own_keys(np.stack([np.frombuffer(r.v, dtype=np.float32) for r in unit.dropDuplicates(["key"]).collect()]))
+    assert max(np.unique(keys[:, k], return_counts=True)[1].max() for k in range(3)) <= 400
+    got = similar_vectors(t, "id", "v", 8, k=5, least=0.999999).where("id < 'n'")
+    assert got.select("id").distinct().count() == 4000 and got.count() == 20000
