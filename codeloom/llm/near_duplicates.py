@@ -1,29 +1,31 @@
 """Near-duplicate records by T-occurrence search.
 
-Two records with set similarity at least t share at least T = ceil(t * size) tokens.
-As in DivideSkip, the inverted lists of a record are divided into short ones (its
-rarest tokens) and the L = T - m longest: a partner must occur on at least m of the
-short lists. Those are merged, their rows coming together ordered by token and then by
-pair through Spark's sorted shuffles, which merge their runs by a heap; the long lists
-are never merged but probed by binary search for the few candidates that are left.
+A record asks for partners that are no larger than itself; such a partner shares at least
+T = ceil(t * size) of its tokens. As in DivideSkip, the inverted lists of the record are
+divided into short ones (its rarest tokens) and the L = T - m longest: a partner must be
+on at least m of the short lists. The short lists of a record come together in a task and
+are merged by a heap; the partners that are on enough of them are then probed in the long
+lists by binary search. Long lists are never moved: whether a partner is on the list of a
+token is looked up in the partner's own sorted tokens, the same relation read from the
+other side, so that only a record's long tokens travel, once per candidate.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codeloom.operators.components import connected_components
 from codeloom.llm.words import K, letters, mix, word_hashes
 from codeloom.session import materialize
 
+PARTNER_BLOCK = 200_000  # partners that a task merges or holds of one list at a time
 LONG_LIST = 4096  # a list longer than this counts as long; its exact length no longer matters
 _WORD = letters(b"_")
 
@@ -129,16 +131,127 @@ def _lists(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.Recor
         yield out(held_t, held_k, np.full(len(held_t), len(held_t)))
 
 
-@F.pandas_udf(T.IntegerType())
-def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Common tokens of two token arrays, the shorter probed in the longer by binary search."""
+def _offers(batches: Iterator[pa.RecordBatch], threshold: float, blocks: int) -> Iterator[pa.RecordBatch]:
+    """Slices of inverted lists for the records that merge them, over rows sorted by (token, cell, size, key).
+
+    A record gets the members before it that are not too small for it, per block of partners and in
+    order. Held is only the stretch of a list whose sizes still matter; in a cell of its own
+    a split list shows one block of members to all records that ask.
+    """
+    cell, size, key = None, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    asks, parts, home, lists = [], [], [], []
+
+    def flush() -> pa.RecordBatch:
+        ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+        values = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
+        out = [pa.array(asks, pa.int64()), pa.array(parts, pa.int32()), pa.array(home, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))]
+        return pa.RecordBatch.from_arrays(out, ["key", "block", "token", "partners"])
+
+    for b in batches:
+        t, c, n, k = (b.column(x).to_numpy() for x in ("token", "cell", "size", "key"))
+        query, member = (b.column(x).to_numpy(zero_copy_only=False) for x in ("query", "member"))
+        cuts = np.flatnonzero((t[1:] != t[:-1]) | (c[1:] != c[:-1])) + 1
+        room = 0
+        for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(t)]):
+            if s == e:
+                continue
+            if (t[s], c[s]) != cell:
+                cell, size, key = (t[s], c[s]), size[:0], key[:0]
+            on = member[s:e]
+            size, key, had = np.concatenate([size, n[s:e][on]]), np.concatenate([key, k[s:e][on]]), len(size) + np.cumsum(on) - on
+            for i in np.flatnonzero(query[s:e]):
+                lo, hi = np.searchsorted(size, n[s + i] * threshold - 1e-9), had[i]
+                if lo >= hi:
+                    continue
+                some = np.sort(key[lo:hi])
+                if blocks == 1:
+                    cut = [some]
+                else:
+                    of = _block(some, blocks)
+                    cut = [some[of == x] for x in np.unique(of)]
+                for part in cut:
+                    asks.append(k[s + i])
+                    parts.append(int(_block(part[:1], blocks)[0]))
+                    home.append(t[s])
+                    lists.append(part)
+                    room += len(part)
+                if room > 500_000:
+                    yield flush()
+                    asks, parts, home, lists, room = [], [], [], [], 0
+            keep = np.searchsorted(size, n[e - 1] * threshold - 1e-9)
+            size, key = size[keep:], key[keep:]
+        if asks:
+            yield flush()
+            asks, parts, home, lists = [], [], [], []
+
+
+def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(33)).astype(np.int64) % blocks
+
+
+def _merged(lists: list[np.ndarray], least: int) -> tuple[list[int], list[int]]:
+    """Heap merge of sorted lists: the partners on at least ``least`` of them, and on how many."""
+    found, counts, last, n = [], [], None, 0
+    for k in heapq.merge(*(x.tolist() for x in lists)):
+        if k == last:
+            n += 1
+            continue
+        if n >= least:
+            found.append(last)
+            counts.append(n)
+        last, n = k, 1
+    if n >= least and last is not None:
+        found.append(last)
+        counts.append(n)
+    return found, counts
 
-    def one(x: np.ndarray, y: np.ndarray) -> int:
-        x, y = (x, np.sort(y)) if len(x) <= len(y) else (y, np.sort(x))
-        at = np.searchsorted(y, x)
-        return int((y[np.minimum(at, len(y) - 1)] == x).sum())
 
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of each record and block over rows sorted by (key, block, partners given): first the record itself, then its lists.
+
+    A record's own row says how many short lists a partner must be on, its size and its long tokens.
+    """
+    at, own, lists = None, None, []
+
+    def settle() -> pa.RecordBatch:
+        found, counts = _merged(lists, own[0])
+        n = len(found)
+        long = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(own[2])), pa.array(np.tile(own[2], n), pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, at[0]), pa.int64()), pa.array(np.full(n, own[1]), pa.int32()), pa.array(found, pa.int64()), pa.array(counts, pa.int32()), long], ["key_a", "size_a", "key_b", "n", "long"])
+
+    for b in batches:
+        k, block, hits, size = (b.column(x).to_numpy() for x in ("key", "block", "hits", "size"))
+        partners, long = b.column("partners"), b.column("long")
+        for i in range(len(k)):
+            if (k[i], block[i]) != at:
+                if len(lists) > 0 and own is not None and len(lists) >= own[0]:
+                    yield settle()
+                at, own, lists = (k[i], block[i]), None, []
+            if hits[i] > 0:
+                own = (int(hits[i]), int(size[i]), np.asarray(long[i].values, dtype=np.int64))
+            else:
+                lists.append(np.asarray(partners[i].values))
+    if lists and own is not None and len(lists) >= own[0]:
+        yield settle()
+
+
+def _probe(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Adds to the count of a candidate the long lists it is on, each looked up by binary search; keeps the similar ones.
+
+    A candidate that would stay short of T on all long lists is not probed.
+    """
+    for b in batches:
+        n, size_a, size_b = (b.column(x).to_numpy().astype(np.int64) for x in ("n", "size_a", "size_b"))
+        long, theirs = b.column("long"), b.column("tokens")
+        need = np.ceil((size_a + size_b) * (threshold / (1 + threshold)) - 1e-9).astype(np.int64)
+        for i in np.flatnonzero(n + np.diff(long.offsets.to_numpy()) >= need):
+            mine, other = np.asarray(long[int(i)].values), np.asarray(theirs[int(i)].values)
+            if len(mine):
+                at = np.minimum(np.searchsorted(other, mine), len(other) - 1)
+                n[i] += int((other[at] == mine).sum())
+        ok = np.flatnonzero(n >= need)
+        rows = b.take(pa.array(ok))
+        yield pa.RecordBatch.from_arrays([rows.column("key_a"), rows.column("key_b"), pa.array(n[ok].astype(np.int32)), rows.column("size_a"), rows.column("size_b")], ["key_a", "key_b", "overlap", "size_a", "size_b"])
 
 
 class NearDuplicates:
@@ -186,7 +299,7 @@ class NearDuplicates:
 
 
 def near_duplicates(
-    records: DataFrame, id_col: str, text: Column, *, at: str | None = None, threshold: float = 0.8, shingle: int = 5, min_tokens: int = 1, short_hits: int = 2, long_list: int = LONG_LIST
+    records: DataFrame, id_col: str, text: Column, *, at: str | None = None, threshold: float = 0.8, shingle: int = 5, min_tokens: int = 1, short_hits: int = 2, long_list: int = LONG_LIST, partner_block: int = PARTNER_BLOCK
 ) -> NearDuplicates:
     """Records whose sets of word n-grams have at least ``threshold`` of their union in common.
 
@@ -194,7 +307,9 @@ def near_duplicates(
     found (no sampling, no cap on partners); n-grams are compared by 64-bit hashes. Null
     ids or texts and texts with fewer than ``min_tokens`` words or no n-gram are left out. Of
     rows with the same id the one with the latest ``at`` counts. A list that many records
-    share is only ever streamed (``long_list`` bounds what a task holds of it).
+    share is streamed while it is measured; one longer than ``long_list`` that a record has to
+    merge is split into blocks of at most about ``partner_block`` records, and so is the
+    merge itself. A link names the larger set first (of equal ones the larger key).
     """
     rows = records.select(F.col(id_col).alias("id"), text.alias("text"), (F.col(at) if at else F.lit(None).cast("timestamp_ntz")).alias("at")).where("id is not null and text is not null")
     id_type = dict(rows.dtypes)["id"]
@@ -208,31 +323,40 @@ def near_duplicates(
     need = F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)).cast("int")
     known = (
         lists.groupBy("key")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
+        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("lists"))
         .join(sizes, "key")
         .withColumn("hits", F.least(need, F.lit(short_hits)))
         # tokens on no other list come first in the order; they fill part of the short lists
-        .withColumn("short", F.col("size") - need + F.col("hits") - (F.col("size") - F.size("tokens")))
+        .withColumn("short", F.col("size") - need + F.col("hits") - (F.col("size") - F.size("lists")))
         .where("short >= hits")
-        .select("key", "size", "hits", "short", F.col("tokens.token").alias("tokens"))
+        .select("key", "size", "hits", "short", "lists")
     )
     known = materialize(known, "lists")
-    short = known.select("key", "size", "hits", F.explode(F.slice("tokens", F.lit(1), F.col("short"))).alias("token"))
-    left = short.select("token", F.col("key").alias("key_a"), F.col("size").alias("size_a"), F.col("hits").alias("hits_a"))
-    right = short.select("token", F.col("key").alias("key_b"), F.col("size").alias("size_b"), F.col("hits").alias("hits_b"))
-    alike = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * F.lit(threshold) - F.lit(1e-9)
-    candidates = (
-        left.join(right, "token")
-        .where((F.col("key_a") < F.col("key_b")) & alike)
-        .groupBy("key_a", "key_b")
-        .agg(F.count("*").alias("n"), F.first(F.least("hits_a", "hits_b")).alias("hits"))
-        .where("n >= hits")
-        .select("key_a", "key_b")
-    )
-    both = candidates.join(known.select(F.col("key").alias("key_a"), F.col("size").alias("size_a"), F.col("tokens").alias("a")), "key_a").join(
-        known.select(F.col("key").alias("key_b"), F.col("size").alias("size_b"), F.col("tokens").alias("b")), "key_b"
-    )
-    links = both.select("key_a", "key_b", _overlap("a", "b").alias("overlap"), "size_a", "size_b").where(
-        F.col("overlap") * F.lit(1 + threshold) >= F.lit(threshold) * (F.col("size_a") + F.col("size_b")) - F.lit(1e-9)
+    if_long = F.col("df") >= long_list
+    posts = known.select("key", "size", "short", F.posexplode("lists").alias("_i", "l")).select("key", "size", "l.token", "l.df", (F.col("_i") < F.col("short")).alias("query"))
+    # A list whose length is not known is split by blocks of partners, each seen by all records that ask for it.
+    n_known = known.count()
+    blocks = max(1, -(-n_known // partner_block))
+    here = F.pmod(F.shiftrightunsigned("key", 33), F.lit(blocks)).cast("int")
+    base = ["token", "size", "key"]
+    few = posts.where(~if_long).select(*base, F.lit(-1).alias("cell"), "query", F.lit(True).alias("member"))
+    many = posts.where(if_long)
+    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda x: x.cast("int"))
+    asking = many.where("query").select(*base, F.explode(cells).alias("cell"), F.lit(True).alias("query"), F.lit(False).alias("member"))
+    held = many.select(*base, here.alias("cell"), F.lit(False).alias("query"), F.lit(True).alias("member"))
+    order = ["token", "cell", "size", "key", F.desc("query")]  # a record asks before it is itself shown
+    rows = few.unionByName(asking).unionByName(held).select("token", "cell", "size", "key", "query", "member")
+    offers = rows.repartition("token", "cell").sortWithinPartitions(*order).mapInArrow(partial(_offers, threshold=threshold, blocks=blocks), "key long, block int, token long, partners array<long>")
+    own = known.select("key", "size", "hits", F.slice(F.transform("lists", lambda x: x["token"]), F.col("short") + 1, F.size("lists")).alias("long"))
+    own = own.select("key", F.explode(cells).alias("block"), "hits", "size", F.array().cast("array<long>").alias("partners"), "long")
+    given = offers.select("key", "block", F.lit(0).alias("hits"), F.lit(0).alias("size"), "partners", F.array().cast("array<long>").alias("long"))
+    merged = (
+        own.unionByName(given)
+        .repartition("key", "block")
+        .sortWithinPartitions("key", "block", F.desc("hits"))
+        .mapInArrow(_merge, "key_a long, size_a int, key_b long, n int, long array<long>")
     )
+    partners = known.select(F.col("key").alias("key_b"), F.col("size").alias("size_b"), F.sort_array(F.transform("lists", lambda x: x["token"])).alias("tokens"))
+    met = merged.join(partners, "key_b").select("key_a", "key_b", "n", "size_a", "size_b", "long", "tokens")
+    links = met.mapInArrow(partial(_probe, threshold=threshold), "key_a long, key_b long, overlap int, size_a int, size_b int")
     return NearDuplicates(members.select("id", "key"), materialize(links, "links"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm.near_duplicates import _lists, near_duplicates, shingle_sets
+from codeloom.llm.near_duplicates import _lists, _merged, near_duplicates, shingle_sets
 from tests.conftest import rows
 
 SCHEMA = "id string, t string, at timestamp_ntz, key long, token string"
@@ -32,8 +32,8 @@ def brute(data, n, least, t):
     return sorted((a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if len(kept[a] & kept[b]) >= t * len(kept[a] | kept[b]) - 1e-12)
 
 
-@pytest.mark.parametrize("t,n", [(0.6, 3), (0.8, 5)])
-def test_against_brute_force(spark, t, n):
+@pytest.mark.parametrize("t,n,split", [(0.6, 3, {}), (0.8, 5, {}), (0.6, 3, {"long_list": 4, "partner_block": 30})])
+def test_against_brute_force(spark, t, n, split):
     rnd = random.Random(7)
     vocab = [f"w{i}" for i in range(60)]
     base = [[rnd.choice(vocab) for _ in range(rnd.randrange(10, 60))] for _ in range(60)]
@@ -43,7 +43,7 @@ def test_against_brute_force(spark, t, n):
         for _ in range(rnd.randrange(6)):
             w[rnd.randrange(len(w))] = rnd.choice(vocab)
         data.append((f"d{i:03d}", " ".join(w)))
-    found = near_duplicates(table(spark, data), "id", F.col("t"), threshold=t, shingle=n, min_tokens=8)
+    found = near_duplicates(table(spark, data), "id", F.col("t"), threshold=t, shingle=n, min_tokens=8, **split)
     want = brute(data, n, 8, t)
     assert rows(found.pairs()) == want and len(want) > 20
     parent = {i: i for i, _ in data}
@@ -96,3 +96,8 @@ def test_shingles_of_sliced_columns():
     col = pa.array(["x y z", None, "A-b_c d", "", "a b_c d q"])
     row, gram, keys, sizes = shingle_sets(col.slice(1), 3, 1)
     assert sizes.tolist() == [0, 1, 0, 2] and gram[0] in gram[1:]
+
+
+def test_heap_merge_counts_partners():
+    lists = [np.array(x) for x in ([1, 4, 9], [4, 9], [2, 4], [9])]
+    assert _merged(lists, 2) == ([4, 9], [3, 3]) and _merged(lists, 1) == ([1, 2, 4, 9], [1, 1, 3, 3]) and _merged([], 1) == ([], [])
