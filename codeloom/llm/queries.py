@@ -60,11 +60,13 @@ def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), window=13).where("edits = 0").select("doc_id", "item_id")
+    """The case is 13 words in a row: of what the edit search finds, the windows at distance 0, and no items shorter than that."""
+    items = table(spark, d, "eval_items").where(F.size(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))) >= 13)
+    return leaked_items(table(spark, d, "documents"), items, window=13, max_edits=2).where("edits = 0").select("doc_id", "item_id")
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
-    """Also passages that were changed by a word or two."""
+    """Also passages that were changed by a word or two, and whole items of fewer than 13 words."""
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), window=13, max_edits=2)
 
 

@@ -16,8 +16,9 @@ def test_exact_passages(spark):
     item = " ".join(f"word{i}" for i in range(20))
     docs = [(1, "Before. " + item.upper().replace(" ", ", ") + " after"), (2, " ".join(f"word{i}" for i in range(12))), (3, " ".join(f"word{i}" for i in range(4, 17))), (4, None), (5, ""), (6, "word0 " * 50), (1, "Before. " + item.upper()), (7, "filler " * 200_000 + item), (None, item)]
     items = [(9, item), (9, item), (10, None), (11, ""), (12, "short item"), (13, item + " more"), (None, item)]
-    assert rows(run(spark, docs, items), "doc_id", "item_id") == [(1, 13), (1, 9), (3, 13), (3, 9), (7, 13), (7, 9)]
-    assert rows(run(spark, docs, items, item_windows=10), "doc_id", "item_id") == [(1, 13), (1, 9), (3, 13), (3, 9), (7, 13), (7, 9)]
+    items.append((14, "word3 unknown tail"))
+    assert rows(run(spark, docs, items, max_edits=0), "doc_id", "item_id") == [(1, 13), (1, 9), (3, 13), (3, 9), (7, 13), (7, 9)]
+    assert rows(run(spark, docs, items, block_bytes=40), "doc_id", "item_id") == [(1, 13), (1, 9), (3, 13), (3, 9), (7, 13), (7, 9)]
     assert rows(run(spark, [], items)) == [] and rows(run(spark, docs, [])) == []
 
 
@@ -54,5 +55,18 @@ def test_edit_distances_equal_a_plain_one():
                 d.append(min(prev[j] + 1, d[-1] + 1, prev[j - 1] + (u != v)))
         return d[-1]
 
-    assert edit_distances(a, b).tolist() == [plain(x, y) for x, y in zip(a, b)]
+    want = [plain(x, y) for x, y in zip(a, b)]
+    assert edit_distances(a, b).tolist() == want
+    for most in (0, 1, 3, 20):
+        got = edit_distances(a, b, most).tolist()
+        assert [min(x, most + 1) for x in got] == [min(x, most + 1) for x in want]
     assert repetitions(0, 13, 6, 0.95) == 1 and repetitions(2, 13, 6, 0.99) > repetitions(1, 13, 6, 0.9)
+
+
+def test_short_items_and_shared_windows(spark):
+    docs = [(1, "we saw alpha beta gamma delta epsilon zeta eta here"), (2, "alpha beta gamma delta changed zeta eta"), (3, "tiny alpha beta"), (4, " ".join(["pre"] * 5 + [f"p{i}" for i in range(13)]))]
+    same = " ".join(f"p{i}" for i in range(13))
+    items = [(7, "alpha beta gamma delta epsilon zeta eta"), (8, "tiny alpha"), (9, ""), *[(100 + i, same + f" own{i} more{i}") for i in range(50)]]
+    got = rows(run(spark, docs, items, max_edits=2), "doc_id", "item_id", "edits")
+    assert [g for g in got if g[1] < 100] == [(1, 7, 0), (2, 7, 1), (3, 8, 0)]
+    assert sorted(g[1] for g in got if g[0] == 4 and g[2] == 0) == list(range(100, 150))
