@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import pyarrow as pa
@@ -12,20 +13,41 @@ from pyspark.sql import functions as F
 
 from codeloom.session import materialize
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# Fixed value: how the byte-level vocabularies of 50,257 tokens split a text before merging.
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+KEPT = 100_000  # digests whose count a task remembers, so that a text copied very often is counted once per task
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def counter(path: str, pieces: str = PIECES) -> Callable[[list[str]], list[int]]:
+    """Counts tokens by a public vocabulary: ranks (``.tiktoken``, split by ``pieces``) or a tokenizer's own description (``.json``). Special tokens are ordinary text."""
+    if path.endswith(".tiktoken"):
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        encoding = tiktoken.Encoding(os.path.basename(path), pat_str=pieces, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [len(encoding.encode_ordinary(t)) for t in texts]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
+    return lambda texts: [len(e.ids) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    count, known = counter(path), {}
     for b in batches:
-        n: list[int] = []
-        texts = b.column("text")
-        for c in range(0, len(texts), 256):
-            n += [len(e.ids) for e in tok.encode_batch_fast(texts[c : c + 256].to_pylist(), add_special_tokens=False)]
+        copies, texts = b.column("copy_of").to_pylist(), b.column("text")
+        first = {c: i for i, c in enumerate(copies) if c not in known}
+        new = list(first)
+        for c in range(0, len(new), 256):
+            part = new[c : c + 256]
+            known.update(zip(part, count(texts.take(pa.array([first[x] for x in part])).to_pylist())))
+        n = [known[c] for c in copies]
+        if len(known) > KEPT:
+            known = {}
         yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("doc_id", "source", "copy_of")), pa.array(n, pa.int64())], ["doc_id", "source", "copy_of", "n_tokens"])
 
 
@@ -47,10 +69,10 @@ def sized_texts(documents: DataFrame, tokenizer: str = TOKENIZER, goal: DataFram
     ).where("text is not null and text <> '' and doc_id is not null")
     usable = F.lit(True)
     if goal is not None:
-        rows = rows.join(F.broadcast(goal.select("source")), "source", "left_semi")
+        rows = rows.join(goal.select("source"), "source", "left_semi")
     counted = rows.mapInArrow(partial(_count, path=tokenizer), "doc_id long, source string, copy_of string, n_tokens long")
     if goal is not None:
-        counted = counted.join(F.broadcast(goal), "source")  # a row per target
+        counted = counted.join(goal, "source")
         usable = F.coalesce((F.col("target_share") > 0) & (F.col("max_repeats") > 0), F.lit(False))
     first = F.min(F.struct((~usable).alias("unused"), "doc_id", "source", "n_tokens")).alias("t")
     return counted.groupBy("copy_of").agg(first).select("t.doc_id", "t.source", "t.n_tokens").where("n_tokens > 0")
@@ -92,6 +114,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: float | None
     goal = targets.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").where("source is not null").groupBy("source").agg(
         F.max("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats")
     )
+    goal = materialize(goal, "targets")  # so that its size is known to the joins
     sized = materialize(sized_texts(documents, tokenizer, goal), "sized")
     sums = goal.join(sized.groupBy("source").agg(F.sum("n_tokens").alias("size")), "source", "left").collect()
     sizes = {r.source: float(r["size"] or 0) for r in sums}
@@ -103,7 +126,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: float | None
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     whole = F.floor("epochs").cast("int")
     chosen = (
-        sized.join(F.broadcast(plan.select("source", "epochs")), "source")  # a row per target
+        sized.join(plan.select("source", "epochs"), "source")
         .withColumn("repeats", whole + F.when(chance < F.col("epochs") - whole, 1).otherwise(0))
         .where("repeats > 0")
         .select("doc_id", "source", "n_tokens", "repeats")

@@ -2,6 +2,7 @@ import os
 
 import pytest
 
+from codeloom.llm import mixing
 from codeloom.llm.mixing import TOKENIZER, mix, sized_texts, water_fill
 from tests.conftest import rows
 
@@ -52,3 +53,9 @@ def test_copies_in_sources_without_target(spark):
     sized = {r.doc_id: r.n_tokens for r in sized_texts(docs.where("doc_id in (2, 4, 6, 7, 10)")).collect()}
     assert size == {"a": sized[4] + sized[6], "b": sized[2] + sized[7], "zero": sized[10]}
     assert {r.doc_id for r in chosen.collect()} <= {2, 4, 6, 7}
+
+
+def test_both_kinds_of_vocabulary_count_alike():
+    counter, path = mixing.counter, mixing.TOKENIZER
+    texts = ["", "plain words", "naïve café — 你好 <|endoftext|>", "x = 1\n\n\ty\r\n", "  lead and trail  ", "a" * 5000, "it's 12345 we'll"]
+    assert counter(path)(texts) == counter(path.replace(".tiktoken", ".json"))(texts)
