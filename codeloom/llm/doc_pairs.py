@@ -1,9 +1,10 @@
 """Functions paired with their documentation.
 
-Each language has a parsing-expression grammar for what surrounds a routine's head:
-comments, annotations, the signature with nested brackets and strings, and a
-documentation string at the start of the body. Semantic actions turn the parsed spans
-into a description; descriptions that say nothing are then dropped.
+Each language has a packrat parsing-expression grammar of its own: comments, annotations,
+signatures with nested brackets and strings, and a documentation string at the start of
+a body. The first routine of a text is read leniently, as texts may be cut off; further
+ones, in it or after it, by the language's heads. Semantic actions turn the parsed spans
+into descriptions; descriptions that say nothing are then dropped.
 """
 
 from __future__ import annotations
@@ -16,52 +17,95 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.peg import Rule, State, either, lazy, many, maybe, named, rx, seq, span
+from codeloom.llm.peg import Rule, State, balanced, either, many, maybe, rx, seq, span
 
 _NL = r"(?:\r\n|\r|\n)"
-_STR = r"""[A-Za-z]{0,2}(?:\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|"(?:\\[\s\S]|[^"\\\r\n])*"?|'(?:\\[\s\S]|[^'\\\r\n])*'?)"""
-
-
-def _brackets() -> Rule:
-    """( ), [ ] and { } with anything balanced inside; an end of text closes all."""
-    inner: Rule = lazy(lambda: inside)
-    group = named("group", either(*(seq(rx(re.escape(a)), inner, rx(re.escape(b) + r"|\Z")) for a, b in ("()", "[]", "{}"))))
-    inside = named("inside", many(either(rx(_STR), group, rx(r"[^()\[\]{}\"']+"))))
-    return group
+_QUOTED = r"""\"(?:\\[\s\S]|[^"\\\r\n])*\"?|'(?:\\[\s\S]|[^'\\\r\n])*'?"""
+_STR = r"""[A-Za-z]{0,2}(?:\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|%s)""" % _QUOTED
+_TEMPLATE = r"`(?:\\[\s\S]|[^`\\])*(?:`|\Z)"
+_BRACE_STRINGS = {
+    "javascript": f"{_QUOTED}|{_TEMPLATE}",
+    "typescript": f"{_QUOTED}|{_TEMPLATE}",
+    "go": rf"""\"(?:\\.|[^"\\\r\n])*\"?|`[^`]*(?:`|\Z)|'(?:\\[^']{{1,9}}|[^'\\\r\n])'""",
+    "rust": r"""b?r#*"[\s\S]*?(?:"#*|\Z)|b?"(?:\\[\s\S]|[^"\\])*(?:"|\Z)|b?'(?:\\[^']{1,9}|[^'\\\r\n])'|'[A-Za-z_]\w*""",
+}
+_LINE_START = rx(r"(?<![^\r\n])(?:[ \t]*)")
+_NOT_HEADS = r"(?!(?:if|for|while|switch|catch|with|return|function|await|new|typeof|else|do|throw|super)\b)"
 
 
 def _python() -> Rule:
-    group = _brackets()
+    group = balanced(rf"{_STR}|#[^\r\n]*")
     blank = rx(r"[ \t\f]*" + _NL)
     comment = seq(rx(r"[ \t]*"), rx(r"#[^\r\n]*", "line"), rx(_NL + r"|\Z"))
     decorator = seq(rx(r"[ \t]*@[\w.]+"), maybe(group), rx(r"[^\r\n]*(?:" + _NL + r"|\Z)"))
     head = seq(rx(r"[ \t]*(?:async[ \t]+)?def[ \t]+"), rx(r"\w+", "name"), maybe(rx(r"\[[^\]]*\]")), rx(r"[ \t]*"), maybe(group), rx(r"[^:\r\n]*(?::(?=[^\r\n]*)|\Z|(?=[\r\n]))"))
     body = seq(many(either(blank, rx(r"[ \t]+"), rx(r"#[^\r\n]*" + _NL))), rx(_STR, "string"))
-    return seq(many(either(comment, blank)), many(either(decorator, comment, blank)), maybe(seq(span("signature", head), maybe(body))))
-
-
-def _braces() -> Rule:
-    group = _brackets()
+    notes = many(either(comment, blank))
+    routine = seq(span("signature", head), maybe(body))
+    marks = many(either(decorator, comment, blank))
+    first = span("unit", seq(notes, marks, maybe(routine)))
+    unit = span("unit", seq(_LINE_START, maybe(many(either(comment, decorator), 1)), routine))
+    other = either(many(either(comment, blank), 1), rx(_STR), rx(r"#[^\r\n]*"), rx(_NL), rx(r"[^\"'#\r\n]+"), rx(r"[\s\S]"))
+    return seq(first, many(either(unit, other)))
+
+
+def _braces(language: str, note: Rule, head: Rule, group: Rule) -> Rule:
+    """The grammar around the heads of a language that has C's comments and brackets."""
+    strings = rx(_BRACE_STRINGS[language])
     blank = rx(r"[ \t\f]*" + _NL)
     line = seq(rx(r"[ \t]*"), rx(r"//[^\r\n]*", "line"), rx(_NL + r"|\Z"))
-    block = seq(rx(r"[ \t]*"), rx(r"/\*[\s\S]*?(?:\*/|\Z)", "block"), rx(r"[ \t]*" + _NL + r"?"))
-    note = seq(rx(r"[ \t]*(?:#!?(?=\[)|@[\w.]+)"), maybe(group), rx(r"[^\r\n]*(?:" + _NL + r"|\Z)"))
-    other = rx(r"(?!//|/\*)[^(){}\[\]\"'`]")
-    head = many(either(rx(_STR), seq(rx(r"(?=[(\[])"), group), other))
-    return seq(many(either(line, block, note, blank)), maybe(span("signature", head)))
+    block = seq(rx(r"[ \t]*"), rx(r"/\*[\s\S]*?(?:\*/|\Z)", "block"), rx(r"[ \t]*(?:" + _NL + r")?"))
+    plain = rx(r"(?:(?!//|/\*)[^(){}\[\]\"'`])+")
+    lenient = many(either(strings, seq(rx(r"(?=[(\[])"), group), plain))
+    first = span("unit", seq(many(either(line, block, note, blank)), maybe(span("signature", lenient))))
+    unit = span("unit", seq(_LINE_START, maybe(many(either(line, block, note), 1)), span("signature", head)))
+    other = either(many(either(line, block, blank), 1), strings, rx(r"//[^\r\n]*"), rx(_NL), rx(r"[^\"'`/\r\n]+"), rx(r"[\s\S]"))
+    return seq(first, many(either(unit, other)))
+
+
+def _javascript(language: str = "javascript") -> Rule:
+    group = balanced(rf"{_BRACE_STRINGS[language]}|//[^\r\n]*|/\*[\s\S]*?(?:\*/|\Z)")
+    typed = language == "typescript"
+    words = "export|default|async|static|get|set" + ("|public|private|protected|readonly|abstract|override|declare" if typed else "")
+    modifiers = rx(rf"[ \t]*(?:(?:{words})[ \t]+)*")
+    generics = maybe(rx(r"[ \t]*<[^(){};]*>")) if typed else rx("")
+    result = maybe(rx(r"\s*:[^{};=\r\n]+(?:\{[^{}]*\}[^{};=\r\n]*)?(?=\{|=>)")) if typed else rx("")
+    name = rx(r"#?[A-Za-z_$][\w$]*", "name")
+    function = seq(rx(r"function\b\s*\*?\s*"), name, generics, rx(r"\s*"), group, result)
+    method = seq(rx(r"\*?[ \t]*" + _NOT_HEADS), name, generics, rx(r"[ \t]*"), group, result, rx(r"\s*(?=\{)"))
+    held = seq(rx(r"(?:const|let|var)\s+"), name, rx(r"\s*(?::[^=\r\n]+)?=\s*(?:async\b\s*)?"), either(seq(generics, group, result, rx(r"\s*=>")), rx(r"[A-Za-z_$][\w$]*\s*=>"), seq(rx(r"function\b\s*\*?\s*[\w$]*\s*"), group)))
+    note = seq(rx(r"[ \t]*@[\w.]+"), maybe(group), rx(r"[^\r\n]*(?:" + _NL + r"|\Z)"))
+    return _braces(language, note, seq(modifiers, either(function, held, method)), group)
+
+
+def _go() -> Rule:
+    group = balanced(rf"{_BRACE_STRINGS['go']}|//[^\r\n]*|/\*[\s\S]*?(?:\*/|\Z)")
+    head = seq(rx(r"func[ \t]*"), maybe(seq(rx(r"(?=\()"), group, rx(r"[ \t]*"))), rx(r"[^\W\d]\w*", "name"), maybe(rx(r"\[[^\]\r\n]*\]")), rx(r"[ \t]*(?=\()"), group, maybe(seq(rx(r"[ \t]*(?=\()"), group)), rx(r"[^{\r\n]*"))
+    return _braces("go", rx(r"(?!)"), head, group)
+
+
+def _rust() -> Rule:
+    group = balanced(rf"{_BRACE_STRINGS['rust']}|//[^\r\n]*|/\*[\s\S]*?(?:\*/|\Z)")
+    head = seq(rx(r"[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:(?:default|const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+"), rx(r"[^\W\d]\w*", "name"), maybe(rx(r"\s*<[^(){};]*>")), rx(r"\s*(?=\()"), group, rx(r"[^{};]*"))
+    note = seq(rx(r"[ \t]*#!?(?=\[)"), group, rx(r"[^\r\n]*(?:" + _NL + r"|\Z)"))
+    return _braces("rust", note, head, group)
 
 
 @lru_cache(maxsize=None)
 def grammar(language: str) -> Rule:
-    return _python() if language == "python" else _braces()
+    return {"python": _python, "go": _go, "rust": _rust, "typescript": lambda: _javascript("typescript")}.get(language, _javascript)()
 
 
 def language_of(language: str | None, code: str) -> str:
-    """python or one of the brace languages, by the row's language or else by the look of the code."""
+    """The grammar for a row: by its language, or else by the look of the code."""
     known = (language or "").strip().lower()
-    if known.startswith("py") or (not known and re.search(r"^\s*(?:async\s+)?def\s", code, re.M)):
-        return "python"
-    return "braces"
+    for start, name in (("py", "python"), ("ts", "typescript"), ("ty", "typescript"), ("js", "javascript"), ("ja", "javascript"), ("go", "go"), ("rs", "rust"), ("ru", "rust")):
+        if known.startswith(start):
+            return name
+    for look, name in ((r"^\s*(?:async\s+)?def\s", "python"), (r"^\s*func\s", "go"), (r"^\s*(?:pub\b.*)?\bfn\s", "rust")):
+        if re.search(look, code, re.M):
+            return name
+    return "typescript"
 
 
 # What marks a directive for a tool, a licence line, and a note that text is still to come.
@@ -143,24 +187,24 @@ def _uncomment(kind: str, s: str) -> list[str]:
     return [re.sub(r"^\s*\*(?!\*\S) ?", "", x) for x in re.split(_NL, body)]
 
 
-def parse(code: str, language: str | None) -> dict:
-    """Offsets and texts of signature and documentation: ``signature, name, doc`` and ``doc_start, doc_end`` (-1: none).
+_BLANK_LINE = re.compile(r"(?:\r\n|\r(?!\n)|\n)[ \t]*(?:\r\n|\r|\n)")
 
-    A documentation string counts before comments above the signature, which must touch it.
-    """
-    lang = language_of(language, code)
-    _, values = grammar(lang)(State(code), 0)
+
+def _routine(code: str, values: list) -> dict:
+    """Signature and documentation of one parsed unit. A documentation string counts before comments above the signature, which must touch it."""
     head = next((v for v in values if v[0] == "signature"), None)
-    out = {"signature": code[head[1] : head[2]].strip() if head else None, "doc": "", "doc_start": -1, "doc_end": -1}
+    name = next((code[v[1] : v[2]] for v in values if v[0] == "name"), None)
+    signature = code[head[1] : head[2]].strip() if head else None
+    out = {"signature": signature, "name": name or name_of(signature), "head": head[1:] if head else None, "doc": "", "doc_start": -1, "doc_end": -1}
     string = next((v for v in values if v[0] == "string"), None)
     if string:
         text = clean(_unquote(code[string[1] : string[2]]))
         return out | {"doc": text, "doc_start": string[1], "doc_end": string[2]}
-    above = [v for v in values if v[0] in ("line", "block")]
+    above = [v for v in values if v[0] in ("line", "block") and (not head or v[1] < head[1])]
     stop = head[1] if head else len(code)
     run: list = []
     for v in reversed(above):  # the comments that touch the signature, or each other
-        if re.search(rf"{_NL}[ \t]*{_NL}", code[v[2] : stop]):
+        if _BLANK_LINE.search(code[v[2] : stop]):
             break
         run.insert(0, v)
         stop = v[1]
@@ -170,13 +214,48 @@ def parse(code: str, language: str | None) -> dict:
     return out
 
 
+def parse_all(code: str, language: str | None) -> list[dict]:
+    """The routines of a text in order: ``signature, name, doc`` and ``doc_start, doc_end`` (-1: none). There is always a first one."""
+    _, values = grammar(language_of(language, code))(State(code), 0)
+    out, unit = [], []
+    for v in values:
+        if v[0] == "unit":
+            out.append(_routine(code, unit))
+            unit = []
+        else:
+            unit.append(v)
+    return out
+
+
+def parse(code: str, language: str | None) -> dict:
+    """The first routine of a text."""
+    return parse_all(code, language)[0]
+
+
+def extent(code: str, language: str | None, head: tuple[int, int]) -> str:
+    """The text of a routine from its head on: to the bracket that closes its body, or while the lines are indented deeper."""
+    lang = language_of(language, code)
+    if lang == "python":
+        start = max(code.rfind("\n", 0, head[0]), code.rfind("\r", 0, head[0])) + 1
+        depth = len(re.match(r"[ \t]*", code[start:]).group())
+        end = re.compile(rf"(?:{_NL})(?=[ \t]{{0,{depth}}}[^\s#])").search(code, head[1])
+        return code[head[0] : end.start() if end else len(code)].strip("\r\n")
+    at = code.find("{", head[1])
+    if at < 0 or code[head[1] : at].strip(" \t\r\n=>"):
+        return code[head[0] :]
+    strings = rf"{_BRACE_STRINGS[lang]}|//[^\r\n]*|/\*[\s\S]*?(?:\*/|\Z)"
+    got = balanced(strings)(State(code), at)
+    return code[head[0] : got[0] if got else len(code)].strip("\r\n")
+
+
 def name_of(signature: str | None) -> str | None:
     """The routine's own name, read from its signature."""
-    m = re.search(r"([A-Za-z_$][\w$]*)\s*(?:<[^<>]*>)?\s*\(", re.sub(r"^\s*func\s*\([^)]*\)", "", signature or ""))
+    m = re.search(r"([A-Za-z_$][\w$]*)\s*(?:<(?:[^<>]|<[^<>]*>)*>)?\s*\(", re.sub(r"^\s*func\s*\([^)]*\)", "", signature or ""))
     return m.group(1) if m else None
 
 
-_PAIR = "id string, language string, name string, signature string, code string, description string, doc_start int, doc_end int"
+_COLUMNS = ["id", "position", "language", "name", "signature", "code", "description", "doc_start", "doc_end"]
+_PAIR = "id string, position int, language string, name string, signature string, code string, description string, doc_start int, doc_end int"
 
 
 def _pair_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,23 +263,26 @@ def _pair_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for i, lang, name, sig, code, doc in zip(b["id"], b["language"], b["name"], b["signature"], b["code"], b["docstring"]):
             code = code or ""
-            if doc and doc.strip():
-                got = {"doc": clean(re.split(_NL, doc)), "signature": None, "doc_start": -1, "doc_end": -1}
-            else:
-                got = parse(code, lang)
-            own = name or name_of(sig) or name_of(got["signature"] or parse(code, lang)["signature"])
-            if got["doc"] and informative(got["doc"], (own or "").rsplit(".", 1)[-1]):
-                rows.append((i, lang, name, sig or got["signature"], code, got["doc"], got["doc_start"], got["doc_end"]))
-        yield pd.DataFrame(rows, columns=["id", "language", "name", "signature", "code", "description", "doc_start", "doc_end"])
+            first, *others = parse_all(code, lang)
+            said = clean(re.split(_NL, doc)) if doc and doc.strip() else first["doc"]
+            own = (name or name_of(sig) or first["name"] or "").rsplit(".", 1)[-1]
+            if said and informative(said, own):
+                rows.append((i, 0, lang, name, sig or first["signature"], code, said, first["doc_start"], first["doc_end"]))
+            for k, r in enumerate(others, 1):
+                if r["doc"] and informative(r["doc"], r["name"]):
+                    rows.append((i, k, lang, r["name"], r["signature"], extent(code, lang, r["head"]), r["doc"], r["doc_start"], r["doc_end"]))
+        yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
 def doc_pairs(elements: DataFrame) -> DataFrame:
-    """Routines with real documentation, a row per row: the code, its description, and where in the code that stood.
-
-    Reads ``id, type, language, name, signature, code, docstring``. The documentation is ``docstring`` if
-    it is not null or blank (offsets -1), else what the grammar finds in ``code``. Null code
-    counts as empty; null ids are kept; a row without real documentation gives none. The
-    work is per row, so nothing is shuffled and no key can be hot.
+    """Routines with real documentation, a row each: the code, its description, and where in the row's code that stood.
+
+    Reads ``id, type, language, name, signature, code, docstring``. Position 0 is the row's own
+    routine; further ones are those written inside or after it in the same text. Every row is
+    parsed; the documentation of the row's own routine is ``docstring`` if it is not null or
+    blank, else what the grammar finds (offsets are always those of the documentation in ``code``,
+    -1 where it has none). Null code counts as empty; null ids are kept; a routine without real
+    documentation gives no row. The work is per row, so nothing is shuffled and no key can be hot.
     """
     rows = elements.where(F.col("type").isin("function", "method")).select("id", "language", "name", "signature", "code", "docstring")
     return rows.mapInPandas(_pair_batches, _PAIR)

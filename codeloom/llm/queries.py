@@ -50,13 +50,13 @@ def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return doc_pairs(table(spark, d, "code_elements")).select("id").distinct()
+    return doc_pairs(table(spark, d, "code_elements")).where("position = 0").select("id").distinct()
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """One pair per id: repeated deliveries have the same content, of others the largest pair counts."""
+    """One pair per id and routine in its text: repeated deliveries have the same content, of others the largest pair counts."""
     pairs = doc_pairs(table(spark, d, "code_elements"))
-    return pairs.groupBy("id").agg(F.max(F.struct("code", "description", "language", "name", "signature", "doc_start", "doc_end")).alias("p")).select("id", "p.*")
+    return pairs.groupBy("id", "position").agg(F.max(F.struct("code", "description", "language", "name", "signature", "doc_start", "doc_end")).alias("p")).select("id", "position", "p.*")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 
-from codeloom.llm.doc_pairs import clean, doc_pairs, informative, parse
-from codeloom.llm.peg import State, either, many, rx, seq
+from codeloom.llm.doc_pairs import clean, doc_pairs, extent, informative, parse, parse_all
+from codeloom.llm.peg import State, balanced, either, many, rx, seq
 from tests.conftest import rows
 
 CASES = [
@@ -18,6 +18,9 @@ CASES = [
     ("typescript", "// eslint-disable-next-line complexity\n// Joins all parts again.\nfoo(a: Map<string, X>) {\n // inner words of no matter\n", "Joins all parts again."),
     ("javascript", "// Copyright 2016 the authors. All rights reserved.\nf() {", ""),
     ("rust", "/// Splits the given input.\n#[inline]\npub fn f(&self) -> Result<u32, String> {", "Splits the given input."),
+    ("go", "// Splits the given input.\r\nfunc f() error {\r\n", "Splits the given input."),
+    ("go", "// Splits the given input.\r\n\r\nfunc f() error {\r\n", ""),
+    ("rust", "/// Holds the 'a lifetime.\npub fn f<'a>(x: &'a str, c: char) -> &'a str { x }", "Holds the 'a lifetime."),
     ("go", "//nolint:gocyclo\nfunc (s *T) f() error {", ""),
     ("go", "// if x > 5 {\n// return y\n// }\nfunc f() {", ""),
 ]
@@ -46,6 +49,31 @@ def test_packrat_memo_and_choice():
     assert rule(State("aabab"), 0)[1] == (("y", 0, 1), ("x", 1, 3), ("x", 3, 5)) and rule(State("ac"), 0) is None
 
 
+def test_brackets_nest_to_any_depth():
+    rule = balanced(r'"[^"]*"')
+    assert rule(State("(" * 5000 + '")"' + ")" * 5000 + "x"), 0) == (10003, ()) and rule(State("(]"), 0) is None and rule(State("([{"), 0) == (3, ())
+    for language in ("python", "javascript", "go", "rust", "typescript"):
+        assert parse("f(" + "[(" * 3000 + ")]" * 3000 + ") {", language)["doc"] == ""
+
+
+@pytest.mark.parametrize(
+    "language,code,names",
+    [
+        ("python", "def one():\n    '''First of the two here.'''\n    def inner(x):\n        # no doc\n        return x\n\n# Second of the two here.\n@wraps\ndef two():\n    text = '# def three():'\n    return 1\n", ["one", "inner", "two"]),
+        ("javascript", "/** First of them all. */\nfunction one(a) { if (a) { return 1; } }\n// Second of them all.\nconst two = async (b) => { return `function no() {`; };\nclass X {\n  // Third of them all.\n  three(c) { for (;;) { } }\n}", ["one", "two", "three"]),
+        ("typescript", "// First of them all.\nexport async function one<T>(a: T): Promise<T> {\n}\n/* Second of them all. */\n  private two(b?: number): string {\n  }", ["one", "two"]),
+        ("go", "// First of them all.\nfunc one(a int) (int, error) {\n  if a > 1 { }\n}\n\n// Second of them all.\nfunc (s *T[K]) two() {\n x := `func no() {`\n}", ["one", "two"]),
+        ("rust", "/// First of them all.\npub fn one<T: Into<u8>>(a: T) -> u8 { a.into() }\n/// Second of them all.\n#[inline]\npub(crate) async fn two(c: char) -> bool {\n c == '{'\n}", ["one", "two"]),
+    ],
+)
+def test_several_routines_in_a_text(language, code, names):
+    got = parse_all(code, language)
+    assert [r["name"] for r in got] == names
+    assert got[0]["doc"].startswith("First of") and [r["doc"] for r in got if r["name"] == "two"][0].startswith("Second of")
+    body = extent(code, language, next(r["head"] for r in got if r["name"] == "two"))
+    assert "two" in body and "First" not in body and "Third" not in body and body.rstrip()[-1] in "};1"
+
+
 def test_deep_nesting_and_long_text():
     assert parse("def f(" + "(" * 60 + ")" * 60 + "):\n    '''Handles very deep nests.'''", "python")["doc"] == "Handles very deep nests."
     assert parse("/* " + "word " * 100_000 + "*/\nf() {", "javascript")["doc"].startswith("word word")
