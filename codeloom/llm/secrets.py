@@ -50,10 +50,11 @@ _CURL = re.compile(r"(?:(?<=\s)|^)(?:-u|--user|--proxy-user)[ =]+([^\s:\"'`]+):(
 _HEADER = re.compile(r"\b(?:Bearer|Basic)\s+([A-Za-z0-9+/_.=~-]{12,})")
 _SCHEME = re.compile(r"^(?:bearer|basic|token|digest)\s+", re.I)
 _PLACEHOLDER = re.compile(
-    r"x{4,}|\*{3,}|\.{3}|changeme|change_me|change-me|placeholder|example|dummy|replace|redacted|todo|fixme|your[-_ ]|my[-_]?(?:secret|password|token|key)\b|insert|<[^>]*>|\$\{|\{\{|\}\}|%\(|#\{|^\{.*\}$|^\$|^%[A-Za-z_]+%$|vault:|secret://|ssm:|arn:|"
+    r"x{4,}|\*{3,}|\.{3}|change[-_]?me|placeholder|example|redacted|replace[-_]?me|(?<![a-z0-9])(?:dummy|replace|todo|fixme|insert)(?![a-z0-9])|your[-_ ]|my[-_]?(?:secret|password|token|key)\b|<[^>]*>|\$\{|\{\{|\}\}|%\(|#\{|^\{.*\}$|^\$|^%[A-Za-z_]+%$|vault:|secret://|ssm:|arn:|"
     r"\benv\b|getenv|environ|process\.|^null$|^none$|^true$|^false$|^undefined$",
     re.I,
 )
+_TALK = re.compile(r"pass|token|secret|key|auth|credential|login|user|test|default|sample|value", re.I)
 _TOKEN_HASH = r"(?P<comment>\#[^\n]*)"
 _TOKEN_SLASH = r"(?P<comment>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))"
 _STRING = r"""(?P<string>[A-Za-z]{0,2}(?:\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|"(?:\\[\s\S]|[^"\\\n])*(?:"|(?=\n)|\Z)|%s|`(?:\\[\s\S]|[^`\\])*(?:`|\Z)))"""
@@ -102,15 +103,28 @@ def credential_name(name: str) -> bool:
     return last == "auth" and len(words) == 1
 
 
-def secret_value(v: str) -> bool:
-    """Whether a literal can be a live secret: not a placeholder, reference, plain word, sentence, path or URL."""
+def secret_value(v: str, named: bool = False) -> bool:
+    """Whether a literal can be a live secret: not a placeholder, reference, sentence, path or URL, and no plain word.
+
+    A value ``named`` by its target needs less: digits alone will do, and so will a long run of letters
+    of one case that holds no word for credentials.
+    """
     v = _SCHEME.sub("", v.strip())
-    if len(v) < 6 or re.search(r"\s", v) or "://" in v or "-----" in v or v.startswith(("/", "./")) or len(set(v)) < 4 or _PLACEHOLDER.search(v):
+    if len(v) < 6 or re.search(r"\s", v) or "://" in v or "-----" in v or _path(v) or len(set(v)) < 4 or _PLACEHOLDER.search(v):
         return False
     digit, letter = re.search(r"\d", v), re.search(r"[A-Za-z]", v)
     if digit and letter:
         return True
-    return bool(letter and re.search(r"[a-z]", v) and re.search(r"[A-Z]", v) and (len(v) >= 16 or re.search(r"[^\w]", v)))
+    if letter and re.search(r"[a-z]", v) and re.search(r"[A-Z]", v) and (len(v) >= 16 or re.search(r"[^\w]", v)):
+        return True
+    return named and (v.isdigit() or (len(v) >= 16 and v.isascii() and v.isalpha() and (v.islower() or v.isupper()) and not _TALK.search(v)))
+
+
+def _path(v: str) -> bool:
+    """A path in a file system; key material may begin with a slash too, but has parts that no name has."""
+    if not re.match(r"\.{0,2}/", v):
+        return False
+    return not v.endswith("=") and not any(len(x) >= 12 and all(re.search(k, x) for k in ("[a-z]", "[A-Z]", "[0-9]")) for x in v.split("/"))
 
 
 def _url_password(p: str) -> bool:
@@ -121,11 +135,11 @@ def style(language: str | None, file: str | None) -> str:
     """Comment style of a file, from its language or else its name."""
     known = (language or "").strip().lower()
     tail = (file or "").lower().rsplit(".", 1)[-1]
-    if known.startswith(("py", "ini", "toml", "yaml", "yml", "dotenv", "env", "sh", "ru", "cfg")) and not known.startswith("rust"):
+    if known.startswith(("py", "ini", "toml", "yaml", "yml", "dotenv", "env", "sh", "ruby", "rb", "cfg")):
         return "hash"
     if known.startswith("json") or tail == "json":
         return "none"
-    if known.startswith("rust") or tail == "rs":
+    if known in ("ru", "rs") or known.startswith("rust") or tail == "rs":
         return "rust"
     if known.startswith(("ja", "ty", "go", "js", "ts")) or tail in ("js", "ts", "go", "jsx", "tsx", "java"):
         return "slash"
@@ -203,7 +217,7 @@ def _literals(code: str, lexer: re.Pattern, at: int) -> Iterator[Span]:
                 break
         value = "".join(code[x:y] for x, y in pieces)
         spans = [(at + x, at + y) for x, y in pieces]
-        if _named(code, toks, text, i, j, opener) and secret_value(value):
+        if secret_value(value, True) and _named(code, toks, text, i, j, opener):
             yield spans[0][0], spans[0][1], "assigned"
             yield from ((x, y, "continued") for x, y in spans[1:])
         else:
@@ -229,7 +243,7 @@ def _openers(text: list[str]) -> list[int]:
     return out
 
 
-def _path(toks: list, text: list[str], k: int) -> tuple[list[str], int]:
+def _dotted(toks: list, text: list[str], k: int) -> tuple[list[str], int]:
     """Names of the path (a.b, a::b, a().b) that ends at token k, last first, and the token before it."""
     names = [text[k]]
     k -= 1
@@ -301,7 +315,7 @@ def _named(code: str, toks: list, text: list[str], i: int, after: int, opener: l
                 holds = _listed
             k -= 1
         elif k and toks[k - 1][0] == "name":
-            names, before = _path(toks, text, k - 1)
+            names, before = _dotted(toks, text, k - 1)
             if _setter(names):
                 pair = after + 1 < len(toks) and text[after] == "," and toks[after + 1][0] == "string"  # a name and its value
                 return names[0][0].isupper() or not pair
@@ -324,7 +338,7 @@ def _named(code: str, toks: list, text: list[str], i: int, after: int, opener: l
     if text[k] in (",", "[", "{", "("):
         around = opener[nested] if text[k] == "," else k
         if text[k] == "," and around > 0 and text[around] == "(" and toks[around - 1][0] == "name":  # a later argument
-            names, _ = _path(toks, text, around - 1)
+            names, _ = _dotted(toks, text, around - 1)
             return names[0].lower() in LOGIN_CALLS or _setter(names)
         if around >= 0 and (after >= len(toks) or text[after] not in (":", "=>", "=")):
             start = _list_start(toks, text, around)
@@ -342,7 +356,7 @@ def find(code: str, language: str | None = None, file: str | None = None, kind:
     if "named" in rules and (kind == "file" or how == "none"):
         for m in _LINE.finditer(code):
             g = next(x for x in (2, 3, 4) if m.group(x) is not None) if m.lastindex and m.lastindex > 1 else 0
-            if g and credential_name(m.group(1)) and secret_value(m.group(g)):
+            if g and credential_name(m.group(1)) and secret_value(m.group(g), True):
                 lead = _SCHEME.match(m.group(g))
                 spans.append((m.start(g) + (lead.end() if lead else 0), m.end(g), "assigned"))
     out: list[Span] = []

@@ -115,3 +115,20 @@ def test_operator_edge_cases(spark):
     masked = {r.id: (r.n_secrets, r.code) for r in redact(df).collect()}
     assert masked["a"] == (1, 'password = "' + "*" * 14 + '"') and masked["n"] == (0, None) and masked["plain"] == (0, "y = 2") and masked["e"] == (0, "")
     assert rows(find_secrets(df.where("id = 'none'"))) == [] and rows(redact(df.where("id = 'none'"))) == []
+
+
+@pytest.mark.parametrize(
+    "line,secret",
+    [
+        ("password = 'correcthorsebatterystaple'", True), ("db_password = '31415926'", True), ("secret_key = 'todoXy7Q9zLm2'", True), ("api_key = '/8gm0/nUoP/FqnBhns11rH9W8jV4e8hkZu94cnxbrP=='", True),
+        ("api_key = '/j20u/8cpbq574YOoXaWeteymKJ63r4ZtjW6PQFhSg'", True), ("token_file_password = '/etc/keys/main.pem'", False), ("password = 'passwordplaceholdertext'", False), ("api_key = 'TODO-fill9in'", False),
+        ("password = '111111'", False), ("password = 'hunter'", False), ("token = 'REPLACE_ME_9'", False), ("width = '31415926'", False), ("title = 'correcthorsebatterystaple'", False),
+    ],
+)
+def test_values_of_a_named_target(line, secret):
+    assert bool(find(line, "python", "a.py")) == secret
+
+
+def test_short_form_of_rust_is_rust():
+    code = "fn f<'a>() { let c = '\"'; // it's\n let password = \"S3cretValue99\"; }"
+    assert [code[a:b] for a, b, _ in find(code, "ru", None)] == ["S3cretValue99"]
