@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from codeloom.session import materialize
 
 
-def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 50) -> DataFrame:
+def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``id, component`` for every id that has a link; a component is named by its smallest id.
 
     Alternating large-star and small-star steps: every node is linked to the smallest
     node of its neighbourhood until nothing changes, in a number of rounds that grows with
-    the logarithm of the longest chain. No component is ever gathered in one task: each
+    the logarithm of the longest chain; there is no other end. No component is ever gathered in one task: each
     step is a grouped minimum (combined map-side) and a join. Self-links and null ids are
     ignored; an empty input gives an empty result.
     """
     edges = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     edges, mark = materialize(edges, "cc"), None
-    for _ in range(max_rounds):
+    while True:
         # large star: each larger neighbour of a node goes to the node's smallest neighbour
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

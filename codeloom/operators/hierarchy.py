@@ -69,7 +69,7 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield rows
 
 
-def _jump(forest: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _jump(forest: DataFrame) -> DataFrame:
     """Pointer doubling over joins, for links too many to meet in few partitions.
 
     Each round doubles the distance covered. While any tree is unfinished, a round
@@ -80,7 +80,7 @@ def _jump(forest: DataFrame, max_rounds: int = 64) -> DataFrame:
         "tree", "node", "top", "off", "looped", F.coalesce(F.col("_on") & ~F.col("looped"), F.lit(False)).alias("_open")
     )
     state, before = materialize(state, "jump"), None
-    for _ in range(max_rounds):
+    while True:
         left = state.where("_open").count()
         if not left or left == before:
             break

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import clean_id, period
+from codeloom.session import materialize
 
 MATCHES = ("simple", "partial", "full")
 
@@ -84,6 +85,8 @@ def orphan_references(
         .withColumn("_mask", sum((F.when(F.col(c).isNull(), 1 << i).otherwise(0) for i, c in enumerate(cols)), F.lit(0)))
     )
     states = target_states(targets, [t for _, t in keys], version, deleted, born)
+    if k > 1:  # both are read once per mask
+        grouped, states = materialize(grouped, "refs"), materialize(states, "targets")
     found = []
     for mask in range((1 << k) - 1):  # the mask of nulls only refers to nothing
         part = grouped.where(F.col("_mask") == mask) if k > 1 else grouped

@@ -43,9 +43,8 @@ def pattern_search(spark: SparkSession, d: str) -> DataFrame:
     confidence = 0.30 similarity + 0.20 spread + 0.20 same category + 0.15 own confidence + 0.15 recency.
     """
     rows = materialize(patterns(spark, d, "name", "category", "confidence_score", "last_seen", "embedding"), "patterns")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
-    unit = rows.where((F.size("embedding") == 96) & F.exists("embedding", lambda x: x != 0)).select("id", F.transform("embedding", lambda x: x / norm).alias("v"), F.lit("").alias("grp"))
-    hits = nearest(unit, unit.where("cast(conv(right(id, 8), 16, 10) as bigint) % 20 = 0"), 96, 5)
+    vectors = rows.where((F.size("embedding") == 96) & F.exists("embedding", lambda x: x != 0)).select("id", F.col("embedding").alias("v"), F.lit("").alias("grp"))
+    hits = nearest(vectors, vectors.where("cast(conv(right(id, 8), 16, 10) as bigint) % 20 = 0"), 96, 5, unit=True)
     spread = pattern_links(spark, d).groupBy(F.col("pattern_id").alias("id")).agg(F.count("*").alias("projects"))
     latest_at = rows.agg(F.max("last_seen")).first()[0]
     days = F.timestamp_diff("DAY", F.col("last_seen"), F.lit(latest_at).cast("timestamp_ntz"))

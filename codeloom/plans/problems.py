@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators.hierarchy import descendants, hierarchies, paths
-from codeloom.operators.integrity import orphan_references, orphan_report
+from codeloom.operators.integrity import MATCHES, orphan_references, orphan_report
 from codeloom.session import materialize, table
 
 
@@ -37,6 +37,17 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return orphan_report(all_orphans(spark, d), ["table_name", "field_name"])
 
 
+def _placed(match: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        refs = table(spark, d, "code_elements").select("file", "name", F.col("language").alias("lang"), "updated_at")
+        keys = [("file", "file"), ("name", "name"), ("lang", "language")]
+        found = orphan_references(refs, table(spark, d, "nodes"), keys, at="updated_at", match=match, version="indexed_at", deleted="deleted_at", born="indexed_at")
+        return found.select(F.col("file").alias("ref_file"), F.col("name").alias("ref_name"), F.col("lang").alias("ref_language"), "period", "reason", "n_refs")
+
+    run.__doc__ = f"""Elements named by file, name and language (a key of three columns, null in part) that no node bears, under {match} match."""
+    return run
+
+
 def tree_edges(spark: SparkSession, d: str) -> DataFrame:
     """CONTAINS (source is the parent) and INHERITS (target is the parent) as child and parent."""
     down = F.col("rel_type") == "CONTAINS"
@@ -104,8 +115,21 @@ walk AS (
 )
 """
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants}
+_PLACED = """WITH r AS (SELECT nullif(lower(trim(file)), '') AS f, nullif(lower(trim(name)), '') AS n, nullif(lower(trim(language)), '') AS l, strftime(updated_at, '%Y-%m') AS period, updated_at AS seen FROM code_elements),
+ g AS (SELECT f, n, l, period, min(seen) AS seen, count(*) AS n_refs FROM r WHERE f IS NOT NULL OR n IS NOT NULL OR l IS NOT NULL GROUP BY 1, 2, 3, 4),
+ t AS (SELECT lower(trim(file)) AS f, lower(trim(name)) AS n, lower(trim(language)) AS l, arg_max(deleted_at IS NOT NULL, (indexed_at, deleted_at IS NOT NULL)) AS gone, min(indexed_at) AS born
+  FROM nodes WHERE trim(file) <> '' AND trim(name) <> '' AND trim(language) <> '' GROUP BY 1, 2, 3),
+ m AS (SELECT g.f, g.n, g.l, g.period, g.n_refs, g.seen, count(t.f) AS hits, min(CAST(t.gone AS INTEGER)) AS gone, min(t.born) AS born FROM g LEFT JOIN t ON {on} GROUP BY 1, 2, 3, 4, 5, 6),
+ o AS (SELECT *, CASE {full} WHEN hits = 0 THEN 'missing' WHEN gone = 1 THEN 'deleted' WHEN seen < born THEN 'late' END AS reason FROM m)
+ SELECT f AS ref_file, n AS ref_name, l AS ref_language, period, reason, n_refs FROM o WHERE reason IS NOT NULL {simple}"""
+_WHOLE, _ANY = "g.f = t.f AND g.n = t.n AND g.l = t.l", "(g.f IS NULL OR g.f = t.f) AND (g.n IS NULL OR g.n = t.n) AND (g.l IS NULL OR g.l = t.l)"
+_PARTLY = "f IS NULL OR n IS NULL OR l IS NULL"
+
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants} | {f"p4_placed_{m}": _placed(m) for m in MATCHES}
 ORACLES = {
+    "p4_placed_simple": _PLACED.format(on=_WHOLE, full="", simple=f"AND NOT ({_PARTLY})"),
+    "p4_placed_partial": _PLACED.format(on=_ANY, full="", simple=""),
+    "p4_placed_full": _PLACED.format(on=_WHOLE, full=f"WHEN {_PARTLY} THEN 'partial_null'", simple=""),
     "p4_found": _ORPHANS + "SELECT table_name, field_name, ref_id, period, reason FROM orphans",
     "p4_report": _ORPHANS
     + "SELECT table_name, field_name, period, reason, count(*) AS n_keys, CAST(sum(n_refs) AS BIGINT) AS n_refs FROM orphans GROUP BY ALL",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import query as q
 from codeloom.operators.vectors import nearest
 from codeloom.plans.sql import over
-from codeloom.session import table
+from codeloom.session import materialize, table
 from codeloom.sources.tables import elements, patterns
 
 
@@ -32,9 +32,8 @@ def vector_topk_cosine(spark: SparkSession, d: str) -> DataFrame:
 
 def duplicate_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Of the three patterns nearest to each asked for, those similar enough to report: high from 0.85, similar from 0.70."""
-    v = patterns(spark, d, "embedding").where(F.exists("embedding", lambda x: x != 0)).withColumn("_n", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
-    v = v.select("id", F.transform("embedding", lambda x: x / F.col("_n")).alias("v"), F.lit("").alias("grp"))
-    top = nearest(v, v.where("cast(conv(right(id, 8), 16, 10) as bigint) % 20 = 0"), 96, 3)
+    v = materialize(patterns(spark, d, "embedding").where(F.exists("embedding", lambda x: x != 0)).select("id", F.col("embedding").alias("v"), F.lit("").alias("grp")), "vectors")
+    top = nearest(v, v.where("cast(conv(right(id, 8), 16, 10) as bigint) % 20 = 0"), 96, 3, unit=True)
     level = F.when(F.col("similarity") >= 0.85, "DUP-HIGH").when(F.col("similarity") >= 0.70, "DUP-SIMILAR")
     return top.select("query_id", "id", "similarity", level.alias("rule_id")).where("rule_id is not null")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _OWN: dict[str, str] = {}  # folders of sessions that name none
+_WRITTEN: dict[str, list[str]] = {}  # intermediate tables of each application
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g", shared: str | None = None) -> SparkSession:
@@ -33,9 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and the master is local (tests)."""
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="codeloom-shared-")
@@ -52,4 +55,14 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"codeloom-{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the intermediate tables written so far, in a long session; results built on them must have been stored before. Returns how many."""
+    paths, jvm = _WRITTEN.pop(spark.sparkContext.applicationId, []), spark.sparkContext._jvm
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return len(paths)
