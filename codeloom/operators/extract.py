@@ -23,13 +23,13 @@ def called_names(code: Column) -> Column:
 def calls_by_text(elements: DataFrame) -> DataFrame:
     """``src, dst``: routines whose text calls the name of another one.
 
-    A dotted name is known by its last part; of several definitions the first (by file, line
+    Takes ``id, type, name, file, line_start`` and ``called`` (see :func:`called_names`). A dotted name is known by its last part; of several definitions the first (by file, line
     and id) is meant. Self-calls are left out. Names are reduced to one definition before
     the join, and calls to one row per element and name.
     """
     simple = F.element_at(F.split("name", r"\."), -1)
     defs = elements.where("name is not null").groupBy(simple.alias("called")).agg(F.min(F.struct("file", "line_start", "id")).alias("d")).select("called", F.col("d.id").alias("dst"))
-    calls = elements.where("code is not null and type in ('function', 'method')").select(F.col("id").alias("src"), F.explode(called_names(F.col("code"))).alias("called"))
+    calls = elements.where("type in ('function', 'method')").select(F.col("id").alias("src"), F.explode("called").alias("called"))
     return calls.join(defs, "called").where("src <> dst").select("src", "dst").distinct()
 
 
@@ -64,11 +64,16 @@ def mentions(texts: DataFrame, text_id: str, text: str, elements: DataFrame) ->
     return words.join(names, "word").select(text_id, "word", "id").distinct()
 
 
-def structures(elements: DataFrame) -> DataFrame:
-    """Per language: elements that use decorators, context managers, data classes, generators or asynchronous code."""
+def structure_marks() -> dict[str, Column]:
+    """Which structures a text uses."""
     code = F.coalesce("code", F.lit(""))
     marks = {"decorators": r"(?m)^\s*@\w", "context_managers": r"(?m)^\s*(?:async\s+)?with\s", "dataclasses": r"@dataclass|\bNamedTuple\b", "generators": r"\byield\b", "asynchronous": r"\basync\b|\bawait\b", "closures": r"=>|\blambda\b"}
-    return elements.groupBy("language").agg(F.count("*").alias("n"), *[F.count_if(code.rlike(p)).alias(k) for k, p in marks.items()])
+    return {k: code.rlike(p) for k, p in marks.items()}
+
+
+def structures(elements: DataFrame) -> DataFrame:
+    """Per language: elements that use decorators, context managers, data classes, generators or asynchronous code."""
+    return elements.groupBy("language").agg(F.count("*").alias("n"), *[F.count_if(k).alias(k) for k in structure_marks()])
 
 
 def glob_regex(glob: Column) -> Column:

@@ -115,8 +115,8 @@ def impact(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Direct callers count in both terms, as in the definition followed.
     """
-    calls = edges.where("rel_type = 'CALLS'").select("src", "dst").distinct()
-    two = calls.select(F.col("dst").alias("id"), F.col("src").alias("mid")).join(calls.select(F.col("dst").alias("mid"), F.col("src").alias("far")), "mid").select("id", "far")
+    calls = materialize(edges.where("rel_type = 'CALLS'").select("src", "dst").distinct(), "calls")
+    two = two_steps(calls).select(F.col("start").alias("id"), F.col("end").alias("far"))
     within = calls.select(F.col("dst").alias("id"), F.col("src").alias("far")).unionByName(two).distinct().groupBy("id").agg(F.count("*").alias("transitive"))
     direct = calls.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("direct"))
     out = nodes.select("id").join(direct, "id", "left").join(within, "id", "left").fillna(0, ["direct", "transitive"])
@@ -139,6 +139,37 @@ def tiers(deg: DataFrame) -> DataFrame:
     return deg.select("id", n.alias("connections"), F.when(n > 5, "high").when(n > 0, "medium").otherwise("low").alias("tier"))
 
 
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position") -> DataFrame:
+    """Rows numbered from 1 per key in a total order, without ever sorting one key in one task.
+
+    Rows are split by ranges of (key, order) and numbered within their range; what earlier
+    ranges hold of the key is added. Nulls come first, as in an ascending sort; null keys are one key.
+    """
+    at = [*keys, *order]
+    parts = materialize(rows.repartitionByRange(*at).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = parts.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    within = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    out = parts.withColumn("_w", within).join(starts, [F.col("_part") == F.col("_p"), *same])
+    return out.withColumn(name, (F.col("_w") + F.col("_before")).cast("int")).select(*rows.columns, name)
+
+
+def two_steps(step: DataFrame, hub: int = 10_000) -> DataFrame:
+    """Distinct ``start, end`` over two edges of ``src, dst``: for each node (start) what reaches it in two hops (end).
+
+    A node in the middle that many edges enter is split by a hash of where they come from, so
+    that its pairs are formed, and combined, in several tasks.
+    """
+    entering = step.groupBy(F.col("dst").alias("mid")).agg(F.ceil(F.count("*") / hub).cast("int").alias("_cells"))
+    inner = step.select(F.col("dst").alias("mid"), F.col("src").alias("end")).join(entering, "mid")
+    inner = inner.select("mid", "end", F.pmod(F.xxhash64("end"), F.col("_cells")).cast("int").alias("_cell"))
+    outer = step.select(F.col("dst").alias("start"), F.col("src").alias("mid")).join(entering, "mid")
+    outer = outer.select("mid", "start", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)).alias("_cell"))
+    return outer.join(inner, ["mid", "_cell"]).select("start", "end").distinct()
+
+
 def first_per(rows: DataFrame, keys: Sequence[str], order: Sequence, most: int) -> DataFrame:
     """The first ``most`` rows per key under a total order (a top-k report)."""
     return rows.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("position") <= most)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.operators.graph import numbered
+from codeloom.session import materialize
+
 
 def cross_project(patterns: DataFrame, links: DataFrame, min_projects: int = 2) -> DataFrame:
     """Patterns found in at least so many projects, with the number and total occurrences."""
@@ -29,25 +32,32 @@ def unique_patterns(patterns: DataFrame, links: DataFrame, min_confidence: float
 
 def evolution(patterns: DataFrame) -> DataFrame:
     """Patterns of one name in the order they appeared; the last is the current one."""
-    by_name = Window.partitionBy("name").orderBy("first_seen", "id")
-    last = Window.partitionBy("name").orderBy(F.desc("first_seen"), F.desc("id"))
-    return patterns.where("name is not null").select("name", "id", "first_seen", F.row_number().over(by_name).alias("version"), (F.row_number().over(last) == 1).alias("is_current"))
+    rows = numbered(patterns.where("name is not null").select("name", "id", "first_seen"), ["name"], ["first_seen", "id"], "version")
+    newest = rows.groupBy("name").agg(F.max("version").alias("_v"))
+    return rows.join(newest, "name").select("name", "id", "first_seen", "version", (F.col("version") == F.col("_v")).alias("is_current"))
 
 
 def project_similarity(links: DataFrame, least: float = 0.3) -> DataFrame:
     """``a, b, shared, jaccard`` for pairs of projects whose pattern sets overlap.
 
-    A pattern that many projects have would pair them all: the pairs of one pattern are
-    counted per distinct pair (map-side combined), and the projects are few by nature.
+    Candidates meet on rare patterns only: of a project's patterns, ordered from the rarest, the
+    first n - ceil(least * n) + 1 must hold one that a similar project has among its own
+    first ones. A pattern that most projects have is among them for none but the smallest, and the
+    sizes of two projects must be near enough. What they share is then counted for the candidates alone.
     """
-    sets = links.select("pattern_id", "project_name").distinct()
+    sets = materialize(links.select("pattern_id", "project_name").distinct(), "sets")
     sizes = sets.groupBy("project_name").agg(F.count("*").alias("n"))
-    held = sets.groupBy("pattern_id").agg(F.sort_array(F.collect_set("project_name")).alias("p"))  # at most a name per project
-    pairs = held.where(F.size("p") > 1).select(F.explode(F.transform("p", lambda x: F.struct(x.alias("a"), F.filter("p", lambda y: y > x).alias("bs")))).alias("x"))
-    shared = pairs.select("x.a", F.explode("x.bs").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    both = shared.join(sizes.select(F.col("project_name").alias("a"), F.col("n").alias("_na")), "a").join(sizes.select(F.col("project_name").alias("b"), F.col("n").alias("_nb")), "b")
+    common = sets.groupBy("pattern_id").agg(F.count("*").alias("_f"))
+    ranked = F.row_number().over(Window.partitionBy("project_name").orderBy("_f", "pattern_id"))
+    rare = sets.join(common, "pattern_id").join(sizes, "project_name").withColumn("_i", ranked).where(F.col("_i") <= F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1)
+    rare = materialize(rare.select("pattern_id", "project_name", "n"), "rare")
+    a, b = rare.select("pattern_id", F.col("project_name").alias("a"), F.col("n").alias("_na")), rare.select("pattern_id", F.col("project_name").alias("b"), F.col("n").alias("_nb"))
+    near = F.least("_na", "_nb") >= F.greatest("_na", "_nb") * F.lit(least)
+    candidates = a.join(b, "pattern_id").where((F.col("a") < F.col("b")) & near).select("a", "b", "_na", "_nb").distinct()
+    held = sets.select("pattern_id", F.col("project_name").alias("a")), sets.select("pattern_id", F.col("project_name").alias("b"))
+    shared = candidates.join(held[0], "a").join(held[1], ["b", "pattern_id"]).groupBy("a", "b", "_na", "_nb").agg(F.count("*").alias("shared"))
     jac = F.col("shared") / (F.col("_na") + F.col("_nb") - F.col("shared"))
-    return both.select("a", "b", "shared", F.round(jac, 6).alias("jaccard")).where(jac > least)
+    return shared.select("a", "b", "shared", F.round(jac, 6).alias("jaccard")).where(jac > least)
 
 
 def recommend(patterns: DataFrame, links: DataFrame, similarity: DataFrame, most: int = 5) -> DataFrame:

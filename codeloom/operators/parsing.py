@@ -5,12 +5,13 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FACTS = "id string, kind string, name string, owner string, line int, line_end int, detail string"
+FACTS = "kind string, name string, owner string, line int, line_end int, detail string"
 _BRANCH = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.With, ast.Assert, ast.AsyncFor, ast.AsyncWith, ast.IfExp)
+_KINDS = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
 _PLAIN_NUMBERS = {0, 1, -1, 2, 100, 1000}
 
 
@@ -65,15 +66,18 @@ def python_facts(code: str) -> list[tuple]:
     return out
 
 
-def _fact_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [(i, *f) for i, c in zip(b["id"], b["code"]) for f in python_facts(c)]
-        yield pd.DataFrame(rows, columns=["id", "kind", "name", "owner", "line", "line_end", "detail"])
+        got = [python_facts(c) for c in b.column("code").to_pylist()]
+        at = pa.array([i for i, g in enumerate(got) for _ in g], pa.int64())
+        cols = zip(*(f for g in got for f in g)) if len(at) else [[]] * len(_KINDS)
+        yield pa.RecordBatch.from_arrays([b.column("id").take(at), *(pa.array(c, t) for c, t in zip(cols, _KINDS))], ["id", "kind", "name", "owner", "line", "line_end", "detail"])
 
 
 def facts(texts: DataFrame) -> DataFrame:
     """``id, kind, name, owner, line, line_end, detail`` of Python texts (``id, code``). Each text is parsed once, in its own task."""
-    return texts.where("code is not null").select("id", "code").mapInPandas(_fact_batches, FACTS)
+    rows = texts.where("code is not null").select("id", "code")
+    return rows.mapInArrow(_fact_batches, f"id {dict(rows.dtypes)['id']}, {FACTS}")
 
 
 def elements_of(rows: DataFrame) -> DataFrame:

@@ -56,16 +56,29 @@ def _feeds(c: Column) -> Column:
 
 
 def security_findings(files: DataFrame, text: str = "code") -> DataFrame:
-    """``id, rule_id, severity, line, match``: every match with its line. Rules see the whole text, as classes cross lines."""
-    each = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"), F.lit("(?im)(" + p + ")").alias("rx")) for r, s, _, p in SECURITY_RULES])
-    hit = files.select("id", F.col(text).alias("_t"), F.explode(F.filter(each, lambda x: F.regexp_like(F.col(text), x["rx"]))).alias("f"))
-    parts = hit.select("id", "f.rule_id", "f.severity", F.split("_t", F.replace("f.rx", F.lit("(?im)("), F.lit("(?im)(?:")), -1).alias("_s"), F.regexp_extract_all("_t", F.col("f.rx"), 1).alias("_m"))
+    """Every match with ``rule_id, severity, category``, its line, columns (from 1; the end is exclusive) and text. Rules see the whole text, as classes cross lines.
 
-    def upto(i: Column) -> Column:
-        return _feeds(F.array_join(F.slice("_s", 1, i), "")) + _feeds(F.array_join(F.slice("_m", 1, i - 1), ""))
+    A text is matched once per rule and split only by the rules that match. Where a match begins follows from a
+    running sum over the line feeds of what lies before it.
+    """
+    each = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(s).alias("severity"), F.lit(c).alias("category"), F.lit("(?im)(?:" + p + ")").alias("rx"), F.regexp_extract_all(F.col(text), F.lit("(?im)(" + p + ")"), F.lit(1)).alias("m")) for r, s, c, p in SECURITY_RULES])
+    hit = files.where(F.col(text).isNotNull()).select("id", F.col(text).alias("_t"), F.explode(F.filter(each, lambda x: F.size(x["m"]) > 0)).alias("f"))
+    parts = hit.select("id", "f.*", F.split("_t", F.col("f.rx"), -1).alias("_s"))
 
-    rows = F.transform(F.sequence(F.lit(1), F.size("_m")), lambda i: F.struct((upto(i) + 1).alias("line"), F.element_at("_m", i).alias("match")))
-    return parts.select("id", "rule_id", "severity", F.explode(rows).alias("f")).select("id", "rule_id", "severity", "f.line", "f.match")
+    def tail(c: Column) -> Column:
+        return F.length(F.substring_index(c, "\n", -1))
+
+    pieces = F.arrays_zip(F.transform("_s", _feeds).alias("sf"), F.transform("_s", tail).alias("st"), F.transform("m", _feeds).alias("mf"), F.transform("m", tail).alias("mt"))
+    zero = F.struct(F.lit(1).alias("line"), F.lit(1).alias("col"), F.array().cast("array<struct<line:int,col:int>>").alias("at"))
+
+    def step(acc: Column, x: Column) -> Column:
+        line, col = (acc["line"] + x["sf"]).cast("int"), F.when(x["sf"] > 0, x["st"] + 1).otherwise(acc["col"] + x["st"]).cast("int")
+        after, then = (line + F.coalesce(x["mf"], F.lit(0))).cast("int"), F.when(x["mf"] > 0, x["mt"] + 1).otherwise(col + F.coalesce(x["mt"], F.lit(0))).cast("int")
+        return F.struct(after.alias("line"), then.alias("col"), F.array_append(acc["at"], F.struct(line.alias("line"), col.alias("col"))).alias("at"))
+
+    places = F.aggregate(pieces, zero, step, lambda acc: acc["at"])
+    rows = parts.select("id", "rule_id", "severity", "category", F.explode(F.arrays_zip(F.slice(places, F.lit(1), F.size("m")).alias("at"), F.col("m").alias("match"))).alias("f"))
+    return rows.select("id", "rule_id", "severity", "category", F.col("f.at.line").alias("line"), F.col("f.at.col").alias("column"), "f.match")
 
 
 def lines(files: DataFrame, text: str = "code", *keep: str) -> DataFrame:
@@ -73,15 +86,37 @@ def lines(files: DataFrame, text: str = "code", *keep: str) -> DataFrame:
     return files.where(F.col(text).isNotNull()).select("id", *keep, F.posexplode(split_lines(text)).alias("_i", "body")).select("id", *keep, (F.col("_i") + 1).alias("line"), "body")
 
 
+def is_long(body: str, limit: int = 120) -> Column:
+    head = F.ltrim(body)
+    return (F.length(body) > limit) & ~head.startswith("//") & ~head.startswith("/*") & ~head.startswith("*")
+
+
 def long_lines(rows: DataFrame, limit: int = 120) -> DataFrame:
-    head = F.ltrim("body")
-    return rows.where((F.length("body") > limit) & ~head.startswith("//") & ~head.startswith("/*") & ~head.startswith("*")).select("id", "line", F.length("body").alias("length"))
+    return rows.where(is_long("body", limit)).select("id", "line", F.length("body").alias("length"))
+
+
+def todo_mark(body: str) -> Column:
+    return F.upper(F.regexp_extract(body, r"(?i)(?://|#|/\*|\*)\s*(TODO|FIXME|HACK|XXX)\b", 1))
+
+
+def tool_mark(body: str) -> Column:
+    """The first linter mark of a line, in lower case."""
+    return F.lower(F.regexp_extract(body, r"(?i)\b(noqa|nolint|eslint-disable-next-line|eslint-disable|pylint: disable)\b", 1))
+
+
+def next_line(line: Column, mark: Column) -> Column:
+    """The line a mark speaks of."""
+    return (line + F.when(mark == "eslint-disable-next-line", 1).otherwise(0)).cast("int")
+
+
+def tool_marks(rows: DataFrame) -> DataFrame:
+    mark = tool_mark("body")
+    return rows.select("id", next_line(F.col("line"), mark).alias("line"), mark.alias("mark")).where("mark <> ''")
 
 
 def todo_markers(rows: DataFrame) -> DataFrame:
     """First TODO, FIXME, HACK or XXX comment of a line; FIXME is a warning."""
-    mark = F.upper(F.regexp_extract("body", r"(?i)(?://|#|/\*|\*)\s*(TODO|FIXME|HACK|XXX)\b", 1))
-    return rows.select("id", "line", mark.alias("marker")).where("marker <> ''").withColumn("severity", F.when(F.col("marker") == "FIXME", "warning").otherwise("suggestion"))
+    return rows.select("id", "line", todo_mark("body").alias("marker")).where("marker <> ''").withColumn("severity", F.when(F.col("marker") == "FIXME", "warning").otherwise("suggestion"))
 
 
 def nesting(rows: DataFrame, limit: int = 5) -> DataFrame:

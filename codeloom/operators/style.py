@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import materialize
+
 # Style rules as (category, name, pattern, column, element types, languages); no types or languages: all.
 RULES = [
     ("naming", "snake_case_functions", r"^[a-z][a-z0-9_]*$", "name", ["function", "method"], ["python", "rust", "go"]),
@@ -74,17 +76,22 @@ def naming(c: Column) -> Column:
     )
 
 
+def habits() -> dict[str, Column]:
+    """What baselines need to know of a text: whether it handles errors, and whether it handles a password in the plain."""
+    code = F.coalesce(F.col("code"), F.lit(""))
+    return {"tried": code.rlike(r"\b(try|except|catch|Err)\b"), "careless": code.contains("password") & ~code.rlike("hash|bcrypt|scrypt")}
+
+
 def baseline(elements: DataFrame) -> DataFrame:
     """Per language and type: dominant naming with its rate, rate of error handling, mean and deviation of length.
 
-    Taken over all elements; lengths are summed as integers, so that any order of adding gives the same.
+    Takes ``language, type, name, line_start, line_end`` and ``tried`` (see :func:`habits`) of all elements; lengths are summed as integers, so that any order of adding gives the same.
     """
     named = elements.where("name is not null").groupBy("language", "type", naming(F.col("name")).alias("p")).agg(F.count("*").alias("n"))
     top = named.groupBy("language", "type").agg(F.max_by("p", F.struct("n", "p")).alias("dominant"), F.max("n").alias("_m"), F.sum("n").alias("_n"))
     size = F.col("line_end") - F.col("line_start") + 1
-    tried = F.coalesce(F.col("code"), F.lit("")).rlike(r"\b(try|except|catch|Err)\b")
     stats = elements.groupBy("language", "type").agg(
-        F.count("*").alias("n"), F.avg(F.when(tried, 1.0).otherwise(0.0)).alias("t"), F.sum(size).alias("s"), F.sum((size * size).cast("long")).alias("q"), F.count(size).alias("k")
+        F.count("*").alias("n"), F.avg(F.when(F.col("tried"), 1.0).otherwise(0.0)).alias("t"), F.sum(size).alias("s"), F.sum((size * size).cast("long")).alias("q"), F.count(size).alias("k")
     )
     mean = F.col("s") / F.col("k")
     var = F.greatest(F.lit(0.0), F.col("q") / F.col("k") - mean * mean)
@@ -94,14 +101,13 @@ def baseline(elements: DataFrame) -> DataFrame:
 
 def deviations(elements: DataFrame, base: DataFrame, min_rate: float = 0.7) -> DataFrame:
     """``id, rule_id``: elements that deviate from the baseline of their language and type in naming, length or error handling."""
-    b = F.broadcast(base.select("language", "type", "dominant", "dominant_rate", "error_handling_rate", "mean_length", "std_length"))  # a row per language and type
+    b = materialize(base.select("language", "type", "dominant", "dominant_rate", "error_handling_rate", "mean_length", "std_length"), "baseline")  # so that its size is known to the join
     size = F.col("line_end") - F.col("line_start") + 1
-    tried = F.coalesce(F.col("code"), F.lit("")).rlike(r"\b(try|except|catch|Err)\b")
     own = naming(F.col("name"))
     rules = F.array(
         F.when((F.col("dominant_rate") >= min_rate) & (own != F.col("dominant")) & (own == "other"), "PAT-NAMING-CONVENTION"),
-        F.when((F.col("error_handling_rate") >= min_rate) & ~tried, "PAT-MISSING-ERROR-HANDLING"),
+        F.when((F.col("error_handling_rate") >= min_rate) & ~F.col("tried"), "PAT-MISSING-ERROR-HANDLING"),
         F.when((F.col("std_length") > 0) & (size > 40) & (size > F.col("mean_length") + 2 * F.col("std_length")), "PAT-COMPLEXITY-SPIKE"),
-        F.when(F.coalesce(F.col("code"), F.lit("")).contains("password") & ~F.coalesce(F.col("code"), F.lit("")).rlike("hash|bcrypt|scrypt"), "PAT-PASSWORD-HANDLING"),
+        F.when(F.col("careless"), "PAT-PASSWORD-HANDLING"),
     )
     return elements.join(b, ["language", "type"], "left").select("id", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("rule_id"))

@@ -14,7 +14,7 @@ from codeloom.sources.tables import elements
 
 
 def calls_by_text(spark: SparkSession, d: str) -> DataFrame:
-    return x.calls_by_text(materialize(elements(spark, d, "file", "type", "name", "line_start", "code"), "code"))
+    return x.calls_by_text(materialize(elements(spark, d, "file", "type", "name", "line_start", called=x.called_names(F.col("code"))), "calls"))
 
 
 def inheritance_by_text(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def element_mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def structure_stats(spark: SparkSession, d: str) -> DataFrame:
-    return x.structures(elements(spark, d, "language", "code"))
+    return x.structures(elements(spark, d, "language", **x.structure_marks()))
 
 
 def context_once(spark: SparkSession, d: str) -> DataFrame:

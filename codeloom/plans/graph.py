@@ -59,14 +59,16 @@ def file_contents(spark: SparkSession, d: str) -> DataFrame:
     """Members of every container, numbered by line."""
     e, n = graph(spark, d)
     inside = g.neighbours(e, n, ["CONTAINS"], False).select("node_id", "other_id", "name", "node_type", "line_start")
-    return g.first_per(inside, ["node_id"], ["line_start", "other_id"], 2**31 - 1)
+    return g.numbered(inside, ["node_id"], ["line_start", "other_id"])
 
 
 def transitive_callers(spark: SparkSession, d: str) -> DataFrame:
     """Distinct callers of every node within two hops, with their distance."""
     e, _ = graph(spark, d)
     calls = materialize(e.where("rel_type = 'CALLS'").select("src", "dst"), "calls")
-    return g.reach(calls, calls.select("dst").distinct(), 2).select(F.col("seed").alias("node_id"), F.col("node").alias("caller_id"), "depth")
+    one = calls.distinct().select(F.col("dst").alias("node_id"), F.col("src").alias("caller_id"), F.lit(1).alias("depth"))
+    two = g.two_steps(calls).select(F.col("start").alias("node_id"), F.col("end").alias("caller_id"), F.lit(2).alias("depth"))
+    return one.unionByName(two).groupBy("node_id", "caller_id").agg(F.min("depth").alias("depth"))
 
 
 def impact_score(spark: SparkSession, d: str) -> DataFrame:

@@ -9,12 +9,12 @@ from codeloom.operators import parsing
 from codeloom.operators.vectors import nearest
 from codeloom.plans.sql import over
 from codeloom.session import materialize
-from codeloom.sources.tables import elements, pattern_links, patterns
+from codeloom.sources.tables import elements, over_texts, pattern_links, patterns
 from codeloom.streaming.interactions import interaction_stream
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    return materialize(parsing.facts(elements(spark, d, "language", "code").where("language = 'python'")), "facts")
+    return materialize(over_texts(spark, d, lambda t: parsing.facts(t.where("language = 'python'")), "language", "code"), "facts")
 
 
 def python_elements(spark: SparkSession, d: str) -> DataFrame:

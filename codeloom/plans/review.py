@@ -8,20 +8,28 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import cut_code, short_id, split_lines
 from codeloom.operators import review as r
 from codeloom.operators import style as st
-from codeloom.operators.graph import first_per
+from codeloom.operators.graph import first_per, numbered
 from codeloom.operators.memory import set_similarity
 from codeloom.operators.upsert import changed, delete_where, latest
 from codeloom.plans.sql import over
 from codeloom.session import materialize, table
-from codeloom.sources.tables import elements, language_name
+from codeloom.sources.tables import elements, language_name, over_texts
 
 
-def _code(spark: SparkSession, d: str) -> DataFrame:
-    return elements(spark, d, "file", "type", "name", "language", "line_start", "line_end", "code", "docstring")
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    return elements(spark, d, "type", "name", "language", "line_start", "line_end", **st.habits())
 
 
-def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return r.lines(elements(spark, d, "code"))
+def _styles(spark: SparkSession, d: str) -> DataFrame:
+    return over_texts(spark, d, st.style_matches, "type", "name", "language", "code", "docstring")
+
+
+def _on_code(spark: SparkSession, d: str, work) -> DataFrame:
+    return over_texts(spark, d, work, "code")
+
+
+def _by_line(spark: SparkSession, d: str, work) -> DataFrame:
+    return over_texts(spark, d, lambda t: work(r.lines(t)), "code")
 
 
 def latest_elements(spark: SparkSession, d: str) -> DataFrame:
@@ -35,7 +43,7 @@ def elements_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 def elements_in_file(spark: SparkSession, d: str) -> DataFrame:
     """Elements of every file, in order."""
-    return first_per(elements(spark, d, "file", "name", "line_start"), ["file"], ["line_start", "id"], 2**31 - 1)
+    return numbered(elements(spark, d, "file", "name", "line_start"), ["file"], ["line_start", "id"])
 
 
 def language_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -64,12 +72,12 @@ def directory_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _digests(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("file").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", F.sha2(F.coalesce("code", F.lit("")), 256).alias("h")))), lambda x: x["h"]), ""), 256).alias("digest"))
+    return rows.groupBy("file").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
 
 
 def changed_files(spark: SparkSession, d: str) -> DataFrame:
     """Files that differ between the deliveries before 2025 and all of them, by content hash."""
-    rows = table(spark, d, "code_elements").select("id", "file", "code", "updated_at")
+    rows = table(spark, d, "code_elements").select("id", "file", F.sha2(F.coalesce("code", F.lit("")), 256).alias("h"), "updated_at")
     old = latest(rows.where("updated_at < timestamp_ntz'2025-01-01'"), ["id"], "updated_at")
     return changed(_digests(latest(rows, ["id"], "updated_at")), _digests(old), "file", "digest")
 
@@ -77,8 +85,8 @@ def changed_files(spark: SparkSession, d: str) -> DataFrame:
 def content_ids(spark: SparkSession, d: str) -> DataFrame:
     """A stable id from place and content."""
     h = F.sha2(F.coalesce("code", F.lit("")), 256)
-    rows = elements(spark, d, "file", "line_start", "line_end", "code")
-    return rows.select("id", short_id(F.coalesce("file", F.lit("")), F.coalesce(F.col("line_start").cast("string"), F.lit("")), F.coalesce(F.col("line_end").cast("string"), F.lit("")), h).alias("stable_id"))
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return elements(spark, d, stable_id=short_id(F.coalesce("file", F.lit("")), number("line_start"), number("line_end"), h))
 
 
 def embedding_text(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +94,7 @@ def embedding_text(spark: SparkSession, d: str) -> DataFrame:
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     text = F.concat_ws("\n", F.concat(F.col("type"), F.lit(": "), F.coalesce(blank("name"), F.lit("anonymous"))), F.concat(F.lit("Description: "), blank("docstring")), F.concat(F.lit("Signature: "), blank("signature")), F.concat(F.lit("Code:\n"), F.col("code")))
     text = F.regexp_replace(F.regexp_replace(text, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", ""), "\n{4,}", "\n\n\n")
-    return elements(spark, d, "type", "name", "docstring", "signature", "code").select("id", F.length(text).alias("length"), F.sha2(text, 256).alias("digest"), F.sha2(cut_code(text), 256).alias("cut_digest"))
+    return elements(spark, d, length=F.length(text), digest=F.sha2(text, 256), cut_digest=F.sha2(cut_code(text), 256))
 
 
 def kept_elements(spark: SparkSession, d: str) -> DataFrame:
@@ -96,42 +104,52 @@ def kept_elements(spark: SparkSession, d: str) -> DataFrame:
 
 
 def long_lines(spark: SparkSession, d: str) -> DataFrame:
-    return r.long_lines(_lines(spark, d))
+    return _by_line(spark, d, r.long_lines)
 
 
 def todo_markers(spark: SparkSession, d: str) -> DataFrame:
-    return r.todo_markers(_lines(spark, d))
+    return _by_line(spark, d, r.todo_markers)
 
 
 def high_nesting(spark: SparkSession, d: str) -> DataFrame:
-    return r.nesting(_lines(spark, d), 2)
+    """Lines indented deeper than two levels, as these elements are short; ``deep_nesting`` has the limit that reviews use."""
+    return _by_line(spark, d, lambda t: r.nesting(t, 2))
+
+
+def deep_nesting(spark: SparkSession, d: str) -> DataFrame:
+    return _by_line(spark, d, r.nesting)
 
 
 def long_functions(spark: SparkSession, d: str) -> DataFrame:
     return r.long_routines(elements(spark, d, "file", "type", "line_start", "line_end").where("type in ('function', 'method')"), 25)
 
 
+def very_long_functions(spark: SparkSession, d: str) -> DataFrame:
+    """At the limit that reviews use, 60 lines; ``long_functions`` takes 25, as these elements are short."""
+    return r.long_routines(elements(spark, d, "file", "type", "line_start", "line_end").where("type in ('function', 'method')"))
+
+
 def line_counts(spark: SparkSession, d: str) -> DataFrame:
-    return elements(spark, d, "code").where("code is not null").select("id", F.size(split_lines("code")).alias("lines"))
+    return elements(spark, d, lines=F.size(split_lines("code"))).where("lines is not null")
 
 
 def security_counts(spark: SparkSession, d: str) -> DataFrame:
-    return r.security_counts(elements(spark, d, "code"))
+    return _on_code(spark, d, r.security_counts)
 
 
 def security_findings(spark: SparkSession, d: str) -> DataFrame:
-    return r.security_findings(elements(spark, d, "code"))
+    return _on_code(spark, d, r.security_findings)
 
 
 def security_report(spark: SparkSession, d: str) -> DataFrame:
-    found = r.security_counts(elements(spark, d, "code"))
+    found = security_counts(spark, d)
     return found.groupBy("rule_id", "severity", "category").agg(F.count("*").alias("texts"), F.sum("n").alias("matches"))
 
 
 def risk_scores(spark: SparkSession, d: str) -> DataFrame:
     """Per file, the weighted security matches, 1 at most."""
     weight = F.when(F.col("severity").isin("critical", "high"), 0.3).when(F.col("severity") == "medium", 0.15).otherwise(0.05)
-    found = r.security_counts(elements(spark, d, "code")).join(elements(spark, d, "file"), "id")
+    found = security_counts(spark, d).join(elements(spark, d, "file"), "id")
     return found.groupBy("file").agg(F.round(F.least(F.lit(1.0), F.sum(weight * F.col("n"))), 6).alias("risk"))
 
 
@@ -146,18 +164,31 @@ def recency_bands(spark: SparkSession, d: str) -> DataFrame:
 
 def inline_suppressions(spark: SparkSession, d: str) -> DataFrame:
     """Comments that silence tools: here the linters' own marks serve as suppressions."""
-    marks = F.regexp_extract("body", r"(?i)\b(noqa|nolint|eslint-disable-next-line|eslint-disable|pylint: disable)\b", 1)
-    return _lines(spark, d).select("id", (F.col("line") + F.when(F.lower(marks) == "eslint-disable-next-line", 1).otherwise(0)).alias("line"), F.lower(marks).alias("mark")).where("mark <> ''")
+    return _by_line(spark, d, r.tool_marks)
+
+
+def ignore_comments(spark: SparkSession, d: str) -> DataFrame:
+    """The library's own ignore comments, with the rules they name."""
+    return _by_line(spark, d, r.inline_suppressions)
 
 
 def reviewed(spark: SparkSession, d: str) -> DataFrame:
     """All findings with those on silenced lines marked."""
-    rows = _lines(spark, d)
-    long = r.long_lines(rows).select("id", "line", F.lit("GEN-LONG-LINE").alias("rule_id"), F.lit("low").alias("severity"))
-    todo = r.todo_markers(rows).select("id", "line", F.lit("GEN-TODO").alias("rule_id"), F.lit("info").alias("severity"))
-    sec = security_findings(spark, d).select("id", "line", "rule_id", "severity")
-    quiet = inline_suppressions(spark, d).select("id", "line", F.lit("*").alias("rule_id"))
-    return r.apply_suppressions(long.unionByName(todo).unionByName(sec), quiet)
+
+
+    def found(texts: DataFrame) -> DataFrame:
+        rows = r.lines(texts)
+        marks = F.array(
+            F.when(r.is_long("body"), F.struct(F.lit("GEN-LONG-LINE").alias("rule_id"), F.lit("low").alias("severity"))),
+            F.when(r.todo_mark("body") != "", F.struct(F.lit("GEN-TODO").alias("rule_id"), F.lit("info").alias("severity"))),
+            F.when(r.tool_mark("body") != "", F.struct(F.lit("*").alias("rule_id"), r.tool_mark("body").alias("severity"))),
+        )
+        by_line = rows.select("id", "line", F.explode(F.filter(marks, lambda x: x.isNotNull())).alias("m")).select("id", "line", "m.*")
+        return by_line.unionByName(r.security_findings(texts).select("id", "line", "rule_id", "severity"))
+
+    rows = materialize(_on_code(spark, d, found), "found")
+    quiet = rows.where("rule_id = '*'").select("id", r.next_line(F.col("line"), F.col("severity")).alias("line"), "rule_id")
+    return r.apply_suppressions(rows.where("rule_id <> '*'"), quiet)
 
 
 def review_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -175,28 +206,28 @@ def review_sarif(spark: SparkSession, d: str) -> DataFrame:
 
 
 def style_matches(spark: SparkSession, d: str) -> DataFrame:
-    return st.style_matches(_code(spark, d))
+    return _styles(spark, d)
 
 
 def style_aggregate(spark: SparkSession, d: str) -> DataFrame:
-    return st.aggregate_styles(st.style_matches(_code(spark, d)))
+    return st.aggregate_styles(_styles(spark, d))
 
 
 def learned_styles(spark: SparkSession, d: str) -> DataFrame:
-    return st.learned_styles(st.style_matches(_code(spark, d)))
+    return st.learned_styles(_styles(spark, d))
 
 
 def style_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     """Jaccard of the element sets of styles; the styles are a fixed list, so the pairs are few."""
-    return set_similarity(st.style_matches(_code(spark, d)), "style", "id", 0.3)
+    return set_similarity(_styles(spark, d), "style", "id", 0.3)
 
 
 def baseline_stats(spark: SparkSession, d: str) -> DataFrame:
-    return st.baseline(_code(spark, d))
+    return st.baseline(_measured(spark, d))
 
 
 def style_deviations(spark: SparkSession, d: str) -> DataFrame:
-    code = materialize(_code(spark, d), "code")
+    code = materialize(_measured(spark, d), "measured")
     return st.deviations(code, st.baseline(code))
 
 
@@ -260,7 +291,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_elements, elements_by_name, elements_in_file, language_stats, index_stats, type_counts, detect_languages, directory_stats, changed_files, content_ids, embedding_text,
-        kept_elements, long_lines, todo_markers, high_nesting, long_functions, line_counts, security_counts, security_findings, security_report, risk_scores, recency_bands, inline_suppressions, review_findings,
+        kept_elements, long_lines, todo_markers, high_nesting, long_functions, line_counts, deep_nesting, very_long_functions, ignore_comments, security_counts, security_findings, security_report, risk_scores, recency_bands, inline_suppressions, review_findings,
         review_summary, review_sarif, style_matches, style_aggregate, learned_styles, style_cooccurrence, baseline_stats, style_deviations,
     )
 }

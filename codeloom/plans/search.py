@@ -98,9 +98,8 @@ def context_budget(spark: SparkSession, d: str) -> DataFrame:
     """Per file, the elements from the top whose text fits into 4000 characters together; the first that does not ends the list."""
     from pyspark.sql import Window
 
-    rows = elements(spark, d, "file", "line_start", "code").where("code is not null and file is not null")
-    size = F.least(F.length("code"), F.lit(500)) + 20
-    used = F.sum(size).over(Window.partitionBy("file").orderBy("line_start", "id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = elements(spark, d, "file", "line_start", size=F.least(F.length("code"), F.lit(500)) + 20).where("size is not null and file is not null")
+    used = F.sum("size").over(Window.partitionBy("file").orderBy("line_start", "id").rowsBetween(Window.unboundedPreceding, 0))
     return rows.select("id", "file", "line_start", used.alias("used")).where("used <= 4000")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +24,39 @@ def language_name(c: Column | str) -> Column:
     )
 
 
-def elements(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    """Code elements, each id in its latest delivery; only the columns asked for are read and moved."""
-    cols = columns or ("file", "type", "name", "language", "line_start", "line_end")
-    rows = table(spark, d, "code_elements").select("id", *[c for c in cols if c != "id"], *([] if "updated_at" in cols else ["updated_at"]))
-    if "language" in cols:
-        rows = rows.withColumn("language", language_name("language"))
+def elements(spark: SparkSession, d: str, *columns: str, **derived: Column) -> DataFrame:
+    """Code elements, each id in its latest delivery; only the columns asked for are read and moved.
+
+    ``derived`` columns are computed from the row before deliveries are compared, so that what is
+    learned from a long text travels in its place.
+    """
+    cols = columns or (() if derived else ("file", "type", "name", "language", "line_start", "line_end"))
+    raw = table(spark, d, "code_elements")
+    if "language" in cols or derived:
+        raw = raw.withColumn("language", language_name("language"))
+    rows = raw.select("id", *[c for c in cols if c != "id"], *[v.alias(k) for k, v in derived.items()], *([] if "updated_at" in cols else ["updated_at"]))
     out = latest(rows, ["id"], "updated_at")
-    return out.select("id", *[c for c in cols if c != "id"])
+    return out.select("id", *[c for c in cols if c != "id"], *derived)
+
+
+def _deliveries(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    return table(spark, d, "code_elements").select(F.struct("id", place.alias("place")).alias("id"), *columns)
+
+
+def over_texts(spark: SparkSession, d: str, work: Callable[[DataFrame], DataFrame], *columns: str) -> DataFrame:
+    """What ``work`` makes of every delivered row (keyed by ``id``), kept for the latest delivery of each id.
+
+    Texts are read where they lie: only what was found in them, and ids, meet the choice of
+    the latest row. Of deliveries of one time the place in the files decides.
+    """
+    rows = _deliveries(spark, d, *columns)
+    if "language" in columns:
+        rows = rows.withColumn("language", language_name("language"))
+    last = _deliveries(spark, d, "updated_at").where("id.id is not null").groupBy(F.col("id.id").alias("_id")).agg(F.max_by("id.place", F.struct("updated_at", "id.place")).alias("_place"))
+    found = work(rows)
+    kept = found.join(last, (F.col("id.id") == F.col("_id")) & (F.col("id.place") == F.col("_place")), "left_semi")
+    return kept.withColumn("id", F.col("id.id"))
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
