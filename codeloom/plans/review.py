@@ -255,6 +255,22 @@ def _on_counts(then: str) -> str:
     return over("el", then=_COUNTS + " " + then).replace(" @,", ",")
 
 
+#: Matches one by one: the text is cut behind each match in turn, so that its place follows from what was cut off.
+_RULES = ", ".join(f"('{i}', '{s}', '{c}', '(?im){_quote(WIDER.get(i, (p,))[0])}')" for i, s, c, p in r.SECURITY_RULES)
+_KEPT = "CASE rule_id " + " ".join(f"WHEN '{k}' THEN {v[1].replace('x)', 'match)')}" for k, v in WIDER.items()) + " ELSE TRUE END"
+_FOUND = f"""@, ru AS (SELECT * FROM (VALUES {_RULES}) v(rule_id, severity, category, rx)),
+ hs AS (SELECT id, code, rule_id, severity, category, unnest(regexp_extract_all(code, rx)) AS match, generate_subscripts(regexp_extract_all(code, rx), 1) AS i FROM el, ru WHERE code IS NOT NULL AND regexp_matches(code, rx)),
+ wk AS (SELECT id, code, rule_id, severity, category, match, i, strpos(code, match) - 1 AS before FROM hs WHERE i = 1
+  UNION ALL SELECT h.id, h.code, h.rule_id, h.severity, h.category, h.match, h.i, w.before + length(w.match) + strpos(h.code[w.before + length(w.match) + 1:], h.match) - 1 FROM wk w JOIN hs h ON h.id = w.id AND h.rule_id = w.rule_id AND h.i = w.i + 1),
+ sf AS (SELECT id, rule_id, severity, category, length(code[:before]) - length(replace(code[:before], chr(10), '')) + 1 AS line, length(list_last(string_split(code[:before], chr(10)))) + 1 AS col, match FROM wk WHERE {_KEPT})"""
+_REVIEWED = """, mk AS (SELECT id, line, body, lower(regexp_extract(body, '(?i)\\b(noqa|nolint|eslint-disable-next-line|eslint-disable|pylint: disable)\\b', 1)) AS mark FROM ln),
+ q AS (SELECT DISTINCT id, line + CASE WHEN mark = 'eslint-disable-next-line' THEN 1 ELSE 0 END AS line FROM mk WHERE mark <> ''),
+ f AS (SELECT id, line, 'GEN-LONG-LINE' AS rule_id, 'low' AS severity FROM ln WHERE length(body) > 120 AND NOT regexp_matches(ltrim(body, ' '), '^(//|/\\*|\\*)')
+  UNION ALL SELECT id, line, 'GEN-TODO', 'info' FROM ln WHERE regexp_matches(body, '(?i)(?://|#|/\\*|\\*)\\s*(TODO|FIXME|HACK|XXX)\\b') UNION ALL SELECT id, line, rule_id, severity FROM sf),
+ rf AS (SELECT f.id, CAST(f.line AS INTEGER) AS line, rule_id, severity, q.id IS NOT NULL AS suppressed FROM f LEFT JOIN q ON q.id = f.id AND q.line = f.line)"""
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_TEXT = """regexp_replace(regexp_replace(concat_ws(chr(10), type || ': ' || coalesce(nullif(name, ''), 'anonymous'), 'Description: ' || nullif(docstring, ''), 'Signature: ' || nullif(signature, ''), 'Code:' || chr(10) || code),
+ '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), chr(10) || '{4,}', chr(10) || chr(10) || chr(10), 'g')"""
 _LINES = "@, ln AS (SELECT id, unnest(l) AS body, generate_subscripts(l, 1) AS line FROM (SELECT id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT id, regexp_split_to_array(code, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x{85}\\x{2028}\\x{2029}]') AS l FROM el WHERE code IS NOT NULL)))"
 
 
@@ -262,6 +278,10 @@ def _on_lines(then: str) -> str:
     return over("el", then=_LINES + " " + then).replace(" @,", ",")
 
 
+def _on_found(then: str) -> str:
+    return over("el", then=_LINES + _FOUND.replace("@,", ",") + " " + then, recursive=True).replace(" @,", ",")
+
+
 def _style_sql() -> str:
     parts = []
     for c, n, rx, col, types, langs in st.RULES:
@@ -318,6 +338,20 @@ ORACLES = {
     "long_functions": over("el", then="SELECT id, file, line_start, line_end - line_start + 1 AS length FROM el WHERE type IN ('function', 'method') AND line_end - line_start + 1 > 25"),
     "line_counts": _on_lines("SELECT id, CAST(count(*) AS INTEGER) AS lines FROM ln GROUP BY 1"),
     "security_counts": _on_counts("SELECT * FROM sc"),
+    "security_findings": _on_found("SELECT id, rule_id, severity, category, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS \"column\", match FROM sf"),
+    "review_findings": _on_found(_REVIEWED + " SELECT * FROM rf"),
+    "review_summary": _on_found(_REVIEWED + " SELECT file, " + ", ".join(f"count(*) FILTER (WHERE severity = '{s}' AND NOT suppressed) AS {s}" for s in ("critical", "high", "medium", "low", "info")) + ", count(*) FILTER (WHERE severity = 'critical' AND NOT suppressed) > 0 AS blocking FROM rf JOIN el USING (id) GROUP BY file"),
+    "review_sarif": _on_found(_REVIEWED + """ SELECT id, line, rule_id, '{"ruleId":"' || rule_id || '","level":"' || CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity IN ('low', 'info') THEN 'note' ELSE 'warning' END
+ || '","message":{"text":"' || rule_id || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || id || '"},"region":{"startLine":' || line || '}}}]}' AS result FROM rf WHERE NOT suppressed"""),
+    "embedding_text": over("el", then=f"""@, tx AS (SELECT id, {_TEXT} AS t FROM el), st AS (SELECT id, t, CASE WHEN trim(t, {_BLANK}) = '' THEN 'empty' ELSE trim(t, {_BLANK}) END AS s FROM tx),
+ pt AS (SELECT *, string_split(s, chr(10) || 'Code:' || chr(10)) AS p FROM st), rm AS (SELECT *, 8000 - 7 - 30 - length(p[1]) AS room FROM pt)
+ SELECT id, CAST(length(t) AS INTEGER) AS length, sha256(t) AS digest, sha256(CASE WHEN length(s) <= 8000 THEN s WHEN len(p) < 2 THEN s[:7980] || chr(10) || '... [truncated]'
+ WHEN room > 100 THEN p[1] || chr(10) || 'Code:' || chr(10) || p[2][:room] || chr(10) || '... [truncated]' ELSE p[1][:7980] || chr(10) || '... [truncated]' END) AS cut_digest FROM rm""").replace(" @,", ","),
+    "deep_nesting": _on_lines("""SELECT id, CAST(depth AS INTEGER) AS depth, CAST(line // 5 AS INTEGER) AS block, CAST(min(line) AS INTEGER) AS line FROM (SELECT *, length(w) - length(replace(w, chr(9), '')) + length(replace(w, chr(9), '')) // 4 AS depth,
+ ltrim(replace(body, chr(9), ' '), ' ') AS c FROM (SELECT *, regexp_extract(body, '^([ \\t]*)', 1) AS w FROM ln)) WHERE depth > 5 AND c <> '' AND NOT starts_with(c, '//') AND NOT starts_with(c, '#') GROUP BY id, depth, line // 5"""),
+    "very_long_functions": over("el", then="SELECT id, file, line_start, line_end - line_start + 1 AS length FROM el WHERE type IN ('function', 'method') AND line_end - line_start + 1 > 60"),
+    "ignore_comments": _on_lines("""SELECT DISTINCT id, CAST(line + CASE WHEN k = 'ignore-next-line' THEN 1 ELSE 0 END AS INTEGER) AS line, unnest(CASE WHEN len(p) > 0 THEN p ELSE ['*'] END) AS rule_id FROM (SELECT id, line, lower(regexp_extract(body, '(?i)codeloom:\\s*(ignore-next-line|ignore)\\b', 1)) AS k,
+ list_filter(regexp_split_to_array(regexp_extract(body, '(?i)codeloom:\\s*(?:ignore-next-line|ignore)\\b[ \\t]*([A-Za-z0-9_, \\t-]*)', 1), '[,\\s]+'), lambda x: x <> '') AS p FROM ln) WHERE k <> ''"""),
     "security_report": _on_counts("SELECT rule_id, severity, category, count(*) AS texts, CAST(sum(n) AS BIGINT) AS matches FROM sc GROUP BY 1, 2, 3"),
     "risk_scores": _on_counts("SELECT file, round(least(1.0, sum(n * CASE WHEN severity IN ('critical', 'high') THEN 0.3 WHEN severity = 'medium' THEN 0.15 ELSE 0.05 END)), 6)::DOUBLE AS risk FROM sc JOIN el USING (id) GROUP BY 1"),
     "recency_bands": over("el", then="""@, m AS (SELECT max(updated_at) AS m FROM el), a AS (SELECT *, epoch_us(m) - epoch_us(updated_at) AS us FROM el, m)

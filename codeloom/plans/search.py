@@ -60,13 +60,14 @@ def intent_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def expand_terms(spark: SparkSession, d: str) -> DataFrame:
-    own = _queries(spark, d).select("doc_id", q.terms(F.col("text")).alias("own"))
+    own = _queries(spark, d).select("doc_id", q.words(F.col("text")).alias("own"))
     return own.select("doc_id", F.explode(q.expanded(F.col("own"))).alias("term"))
 
 
 def ambiguity(spark: SparkSession, d: str) -> DataFrame:
-    t = q.ambiguous_terms(F.col("text"))
-    return _queries(spark, d).select("doc_id", F.array_join(t, ",").alias("terms")).where("terms <> ''")
+    """Queries to ask back about: their ambiguous terms and vague words, and the readings to choose from."""
+    t, r = q.ambiguous_terms(F.col("text")), q.clarifications(F.col("text"))
+    return _queries(spark, d).select("doc_id", F.array_join(t, ",").alias("terms"), F.array_join(r, "|").alias("readings")).where("terms <> ''")
 
 
 def dynamic_threshold(spark: SparkSession, d: str) -> DataFrame:
@@ -124,8 +125,30 @@ _INTENT = (
 )
 _NW = "CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' THEN 0 ELSE len(regexp_split_to_array(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '\\s+')) END"
 _TERMS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z_]+'), lambda x: length(x) > 2))"
-_AMB = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '\\b{t}\\b') THEN '{t}' END" for t in q.AMBIGUOUS) + "], lambda x: x IS NOT NULL)"
-_EXPAND = [f"CASE WHEN list_contains(t, '{k}') THEN {v!r} ELSE [] END" for k, v in q.SYNONYMS.items()] + [f"CASE WHEN list_has_any(t, {[x for x in v if ' ' not in x]!r}) THEN ['{k}'] ELSE [] END" for k, v in q.SYNONYMS.items()]
+_MANY = ["auth", "handler", "model", "service", "controller", "client", "worker", "queue", "config", "manager"]
+_MEANT = {
+    "auth": "Authentication (login/signup)|Authorization (permissions/RBAC)|API authentication (keys/tokens)", "handler": "HTTP request handler|Exception handler|Event handler", "model": "Data model/ORM|MVC Model|AI/ML model",
+    "service": "Business logic service|Microservice|External API service", "controller": "MVC Controller|Game controller|Hardware controller", "client": "API client|Frontend/client-side|Customer/client entity",
+    "worker": "Background job worker|Web worker|Service worker", "queue": "Message queue|Task queue|Job queue", "config": "Configuration files|App settings|Environment config", "manager": "Resource manager|State manager|Connection manager",
+}
+_W, _E = r"(^|[^\p{L}\p{N}_])", r"([^\p{L}\p{N}_]|$)"
+_AMB = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{_W}{t}{_E}') THEN '{t}' END" for t in _MANY) + """, CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(it|this|that|these|those)([^\\p{L}\\p{N}_]|$)') THEN 'vague language (unclear reference)' END,
+ CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(all|every|each)([^\\p{L}\\p{N}_]|$)') THEN 'vague language (overly broad scope)' END, CASE WHEN regexp_matches(lower(text), '(^|[^\\p{L}\\p{N}_])(some|few|many)([^\\p{L}\\p{N}_]|$)') THEN 'vague language (imprecise quantity)' END], lambda x: x IS NOT NULL)"""
+_ASK = "flatten([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{_W}{t}{_E}') THEN string_split('{r}', '|') ELSE [] END" for t, r in _MEANT.items()) + "])[1:6]"
+_EXPANDED = """, k AS (SELECT term, string_split(l, '|') AS l FROM (VALUES ('auth', 'authentication|authorization|login|logout|session|credential|password|oauth|jwt|identity'), ('login', 'authentication|signin|auth|session|credential'),
+ ('logout', 'signout|session|invalidate|clear'), ('dto', 'data transfer object|model|schema|payload|request|response'), ('orm', 'object relational mapping|database|sql|model|entity'), ('db', 'database|storage|persistence|sql|query'),
+ ('cache', 'memoization|redis|memcached|storage|buffer|ttl'), ('api', 'endpoint|route|controller|handler|rest|graphql'), ('endpoint', 'api|route|url|path|handler'), ('middleware', 'interceptor|filter|pipeline|handler'),
+ ('test', 'unittest|pytest|mock|fixture|coverage|assert'), ('mock', 'stub|fake|test double|unittest.mock|monkeypatch'), ('perf', 'performance|optimization|speed|latency|throughput|efficiency|fast|slow|bottleneck'),
+ ('optimize', 'performance|improve|efficient|fast|speed up'), ('memory', 'ram|heap|leak|usage|consumption'), ('error', 'exception|raise|catch|handle|error handling|fail'), ('exception', 'error|raise|catch|try|except|finally'),
+ ('debug', 'debugger|breakpoint|trace|logging|print|inspect'), ('service', 'business logic|use case|interactor|domain'), ('repo', 'repository|data access|dao|persistence|store'), ('controller', 'handler|endpoint|view|api|route'),
+ ('model', 'entity|domain|data class|schema|orm'), ('singleton', 'single instance|global|shared|one instance'), ('factory', 'creator|builder|constructor|instantiate'), ('observer', 'pub sub|event|listener|callback|subscribe'),
+ ('decorator', 'wrapper|aspect|annotation|attribute')) v(term, l)), kn AS (SELECT *, row_number() OVER () AS n FROM k),
+ syn AS (SELECT x, arg_min(term, n) AS term FROM (SELECT unnest(l) AS x, term, n FROM kn) WHERE x NOT IN (SELECT term FROM k) GROUP BY 1),
+ w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM d),
+ hit AS (SELECT DISTINCT w.doc_id, k.term, k.l FROM w JOIN k ON contains(w.w, k.term) OR contains(k.term, w.w) UNION SELECT w.doc_id, k.term, k.l FROM w JOIN syn ON syn.x = w.w JOIN k ON k.term = syn.term),
+ t AS (SELECT doc_id, w AS term FROM w UNION SELECT doc_id, term FROM hit UNION SELECT doc_id, unnest(l) FROM hit)
+ SELECT doc_id, term FROM t WHERE length(term) > 2 AND term NOT IN ('the','a','an','is','are','was','were','be','been','being','have','has','had','do','does','did','will','would','could','should','may','might','must','shall','can','need','dare','ought','used','to','of','in','for','on','with','at','by','from',
+ 'as','into','through','during','before','after','above','below','between','under','and','but','or','yet','so','if','because','although','though','while','where','when','that','which','who','whom','whose','what','this','these','those','i','you','he','she','it','we','they')"""
 
 QUERIES = {
     f.__name__: f
@@ -146,8 +169,8 @@ ORACLES = {
     "search_summary": _near("l2", 10) + """, m AS (SELECT query_id, count(*) AS hits, round(avg(similarity), 5) AS mean_similarity FROM r GROUP BY 1)
  SELECT *, CASE WHEN mean_similarity > 0.6 THEN 'high' WHEN mean_similarity > 0.3 THEN 'medium' ELSE 'low' END AS tier FROM m""",
     "intent_classify": _INTENT + " SELECT doc_id, intent, confidence FROM i",
-    "expand_terms": f"WITH {_Q}, t AS (SELECT doc_id, {_TERMS} AS t FROM d) SELECT doc_id, unnest(list_distinct(list_concat(t, " + ", ".join(_EXPAND) + "))) AS term FROM t",
-    "ambiguity": f"WITH {_Q} SELECT doc_id, array_to_string({_AMB}, ',') AS terms FROM d WHERE len({_AMB}) > 0",
+    "expand_terms": f"WITH {_Q}" + _EXPANDED,
+    "ambiguity": f"WITH {_Q} SELECT doc_id, array_to_string({_AMB}, ',') AS terms, coalesce(array_to_string({_ASK}, '|'), '') AS readings FROM d WHERE len({_AMB}) > 0",
     "dynamic_threshold": f"""WITH {_Q} SELECT doc_id, round(greatest(0.1, least(0.5, 0.2 + CASE WHEN {_NW} <= 2 THEN 0.15 WHEN {_NW} >= 6 THEN -0.05 ELSE 0 END
  + CASE WHEN regexp_matches(lower(text), '\\b({"|".join(q.TECHNICAL)})\\b') THEN 0.05 ELSE 0 END + CASE WHEN contains(text, '_') OR regexp_matches(text, '[a-z][A-Z]') THEN 0.1 ELSE 0 END)), 6)::DOUBLE AS threshold FROM d""",
     "query_confidence": _INTENT + f""", n AS (SELECT *, len({_TERMS}) AS n_terms, len({_AMB}) > 0 AS is_ambiguous, {_NW} AS w FROM i)

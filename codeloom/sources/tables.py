@@ -32,7 +32,7 @@ def elements(spark: SparkSession, d: str, *columns: str, **derived: Column) -> D
     """
     cols = columns or (() if derived else ("file", "type", "name", "language", "line_start", "line_end"))
     raw = table(spark, d, "code_elements")
-    if "language" in cols or derived:
+    if "language" in raw.columns and ("language" in cols or derived):
         raw = raw.withColumn("language", language_name("language"))
     rows = raw.select("id", *[c for c in cols if c != "id"], *[v.alias(k) for k, v in derived.items()], *([] if "updated_at" in cols else ["updated_at"]))
     out = latest(rows, ["id"], "updated_at")
