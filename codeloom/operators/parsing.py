@@ -23,13 +23,51 @@ def _complexity(node: ast.AST) -> int:
     return 1 + sum(isinstance(x, _BRANCH) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0) + (len(x.ifs) if isinstance(x, ast.comprehension) else 0) for x in ast.walk(node))
 
 
+_BLOCKS = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.ExceptHandler)
+# Method names that other libraries ask for.
+_ASKED_FOR = ["setUp", "tearDown", "setUpClass", "tearDownClass", "maxDiff"]
+
+
+def _depth(node: ast.AST) -> int:
+    """How deep blocks nest in a routine."""
+    deepest, stack = 0, [(x, 0) for x in ast.iter_child_nodes(node)]
+    while stack:
+        x, d = stack.pop()
+        d += isinstance(x, _BLOCKS)
+        deepest = max(deepest, d)
+        stack.extend((y, d) for y in ast.iter_child_nodes(x))
+    return deepest
+
+
+def _name_facts(tree: ast.Module) -> list[tuple]:
+    """Imported names (kind 'imported', outside type checking), names used ('use') and names assigned at the top ('assign')."""
+    out, typed, used = [], set(), set()
+    for x in ast.walk(tree):
+        if isinstance(x, ast.If) and getattr(x.test, "id", getattr(x.test, "attr", None)) == "TYPE_CHECKING":
+            typed.update(y for y in ast.walk(x) if isinstance(y, (ast.Import, ast.ImportFrom)))
+        elif isinstance(x, ast.Name):
+            used.add(x.id)
+        elif isinstance(x, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in x.targets) and isinstance(x.value, (ast.List, ast.Tuple)):
+            used.update(e.value for e in x.value.elts if isinstance(e, ast.Constant) and isinstance(e.value, str))
+    for x in ast.walk(tree):
+        if x in typed or (isinstance(x, ast.ImportFrom) and (x.module or "").split(".")[0] == "__future__"):
+            continue
+        if isinstance(x, ast.Import):
+            out.extend(("imported", a.asname or a.name.split(".")[0], None, x.lineno, x.lineno, a.name) for a in x.names)
+        elif isinstance(x, ast.ImportFrom):
+            out.extend(("imported", a.asname or a.name, None, x.lineno, x.lineno, a.name) for a in x.names if a.name != "*")
+    out.extend(("use", n, None, None, None, None) for n in sorted(used))
+    out.extend(("assign", t.id, None, x.lineno, x.lineno, None) for x in tree.body if isinstance(x, ast.Assign) for t in x.targets if isinstance(t, ast.Name))
+    return out
+
+
 def python_facts(code: str) -> list[tuple]:
     """(kind, name, owner, line, line_end, detail) of a Python text; nothing where it does not parse."""
     try:
         tree = ast.parse(code)
     except (SyntaxError, ValueError, RecursionError):
         return []
-    out: list[tuple] = []
+    out: list[tuple] = _name_facts(tree)
 
     def visit(node: ast.AST, owner: str | None, in_class: bool) -> None:
         for x in ast.iter_child_nodes(node):
@@ -38,15 +76,18 @@ def python_facts(code: str) -> list[tuple]:
                 args = [a.arg for a in x.args.posonlyargs + x.args.args]
                 method = bool(args) and args[0] in ("self", "cls")
                 out.append(("method" if method else "function", x.name, owner, line, x.end_lineno, f"{'async def' if isinstance(x, ast.AsyncFunctionDef) else 'def'} {x.name}({ast.unparse(x.args)})"))
+                out.append(("nesting", x.name, owner, line, x.end_lineno, str(_depth(x))))
                 out.append(("complexity", x.name, owner, line, x.end_lineno, str(_complexity(x))))
                 if x.returns is None and not x.name.startswith(("_", "test")):
                     out.append(("PY-MISSING-RETURN-TYPE", x.name, owner, line, x.end_lineno, None))
-                if len(args) - method > 5:
-                    out.append(("PY-TOO-MANY-PARAMS", x.name, owner, line, x.end_lineno, str(len(args) - method)))
+                n = sum(a not in ("self", "cls") for a in [*args, *(a.arg for a in x.args.kwonlyargs)])
+                if n > 5:
+                    out.append(("PY-TOO-MANY-PARAMS", x.name, owner, line, x.end_lineno, str(n)))
                 out.extend(("PY-MUTABLE-DEFAULT", x.name, owner, dflt.lineno, dflt.lineno, None) for dflt in x.args.defaults + x.args.kw_defaults if isinstance(dflt, (ast.List, ast.Dict, ast.Set)))
                 visit(x, x.name, False)
             elif isinstance(x, ast.ClassDef):
                 out.append(("class", x.name, owner, line, x.end_lineno, f"class {x.name}({', '.join(ast.unparse(b) for b in x.bases)})"))
+                out.append(("members", x.name, owner, line, x.end_lineno, str(sum(isinstance(y, (ast.FunctionDef, ast.AsyncFunctionDef)) for y in x.body))))
                 out.extend(("inherits", _called(b) or ast.unparse(b), x.name, line, line, None) for b in x.bases)
                 visit(x, x.name, True)
             else:
@@ -84,13 +125,38 @@ def elements_of(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("kind").isin("function", "method", "class")).select("id", F.col("kind").alias("type"), "name", "owner", "line", "line_end", F.col("detail").alias("signature"))
 
 
-def findings_of(rows: DataFrame, max_complexity: int = 10, max_lines: int = 50) -> DataFrame:
-    """``id, rule_id, line, detail`` of the checks that one parse allows."""
-    plain = rows.where(F.col("kind").startswith("PY-")).select("id", F.col("kind").alias("rule_id"), "line", "detail")
-    complex_ = rows.where((F.col("kind") == "complexity") & (F.col("detail").cast("int") > max_complexity)).select("id", F.lit("PY-HIGH-COMPLEXITY").alias("rule_id"), "line", "detail")
-    size = F.col("line_end") - F.col("line") + 1
-    long = rows.where(F.col("kind").isin("function", "method") & (size > max_lines)).select("id", F.lit("PY-LONG-FUNCTION").alias("rule_id"), "line", size.cast("string").alias("detail"))
-    return plain.unionByName(complex_).unionByName(long)
+# Severities of the checks.
+SEVERITY = {
+    "PY-MAGIC-NUM": "suggestion", "PY-BARE-EXCEPT": "warning", "PY-MUTABLE-DEFAULT": "warning", "PY-MISSING-RETURN-TYPE": "suggestion", "PY-TOO-MANY-PARAMS": "suggestion", "PY-UNUSED-IMPORT": "suggestion",
+    "PY-LONG-FUNCTION": "warning", "PY-DEEP-NESTING": "warning", "PY-GOD-CLASS": "warning", "PY-LARGE-CLASS": "suggestion", "PY-FUNC-NAMING": "suggestion", "PY-CLASS-NAMING": "suggestion", "PY-CONST-NAMING": "suggestion",
+}
+
+
+def findings_of(rows: DataFrame, max_complexity: int = 10, max_lines: int = 50, max_depth: int = 4, max_methods: int = 20, max_class_lines: int = 500) -> DataFrame:
+    """``id, rule_id, severity, line, detail`` of the checks that one parse allows: rules over the facts, and a join of imported with used names."""
+    size, number, bare = F.col("line_end") - F.col("line") + 1, F.col("detail").cast("int"), F.ltrim("name", F.lit("_"))
+    routine, kind = F.col("kind").isin("function", "method"), F.col("kind")
+    odd_name = routine & ~F.col("name").startswith("__") & ~F.col("name").isin(_ASKED_FOR) & ~F.col("name").startswith("visit_") & (F.col("name") != "generic_visit") & (bare != "") & ~bare.rlike("^[a-z_][a-z0-9_]*$")
+    odd_class = (kind == "class") & (bare != "") & ~bare.rlike("^[A-Z][a-zA-Z0-9]*$")
+    odd_const = (kind == "assign") & F.col("name").rlike("^[A-Z]") & F.col("name").contains("_") & (F.col("name") != F.upper("name"))
+    hit = lambda rule, when, detail: F.when(when, F.struct(F.lit(rule).alias("rule_id"), detail.cast("string").alias("detail")))
+    rules = F.array(
+        F.when(kind.startswith("PY-"), F.struct(kind.alias("rule_id"), F.col("detail"))),
+        hit("PY-HIGH-COMPLEXITY", (kind == "complexity") & (number > max_complexity), number),
+        hit("PY-LONG-FUNCTION", routine & (size > max_lines), size),
+        hit("PY-DEEP-NESTING", (kind == "nesting") & (number > max_depth), number),
+        hit("PY-GOD-CLASS", (kind == "members") & (number > max_methods), number),
+        hit("PY-LARGE-CLASS", (kind == "members") & (number <= max_methods) & (size > max_class_lines), size),
+        hit("PY-FUNC-NAMING", odd_name, F.col("name")),
+        hit("PY-CLASS-NAMING", odd_class, F.col("name")),
+        hit("PY-CONST-NAMING", odd_const, F.col("name")),
+    )
+    found = rows.select("id", "line", F.explode(F.filter(rules, lambda x: x.isNotNull())).alias("r")).select("id", "r.rule_id", "line", "r.detail")
+    used = rows.where("kind = 'use'").select("id", "name")
+    unused = rows.where("kind = 'imported'").join(used, ["id", "name"], "left_anti").select("id", F.lit("PY-UNUSED-IMPORT").alias("rule_id"), "line", "detail")
+    severity = F.element_at(F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv]), F.col("rule_id"))
+    grave = F.when(F.col("rule_id") == "PY-HIGH-COMPLEXITY", F.when(F.col("detail").cast("int") <= 20, "warning").otherwise("high"))
+    return found.unionByName(unused).select("id", "rule_id", F.coalesce(grave, severity).alias("severity"), "line", "detail")
 
 
 def resolve_calls(rows: DataFrame, definitions: DataFrame) -> DataFrame:
