@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.operators.components import connected_components
 from codeloom.operators.graph import numbered
 from codeloom.session import materialize
 
@@ -37,27 +38,63 @@ def evolution(patterns: DataFrame) -> DataFrame:
     return rows.join(newest, "name").select("name", "id", "first_seen", "version", (F.col("version") == F.col("_v")).alias("is_current"))
 
 
-def project_similarity(links: DataFrame, least: float = 0.3) -> DataFrame:
-    """``a, b, shared, jaccard`` for pairs of projects whose pattern sets overlap.
+def similar_sets(membership: DataFrame, item: str, holder: str, least: float, strict: bool = True) -> DataFrame:
+    """``a, b, shared, jaccard`` for pairs of holders whose item sets overlap by more than ``least`` (or as much, if not ``strict``).
 
-    Candidates meet on rare patterns only: of a project's patterns, ordered from the rarest, the
-    first n - ceil(least * n) + 1 must hold one that a similar project has among its own
-    first ones. A pattern that most projects have is among them for none but the smallest, and the
-    sizes of two projects must be near enough. What they share is then counted for the candidates alone.
+    Candidates meet on rare items only: of a holder's items, ordered from the rarest, the first
+    n - ceil(least * n) + 1 must hold one that a similar holder has among its own first ones. An
+    item that most holders have is among them for none but the smallest, and the sizes of
+    two sets must be near enough. What they share is then counted for the candidates alone.
     """
-    sets = materialize(links.select("pattern_id", "project_name").distinct(), "sets")
-    sizes = sets.groupBy("project_name").agg(F.count("*").alias("n"))
-    common = sets.groupBy("pattern_id").agg(F.count("*").alias("_f"))
-    ranked = F.row_number().over(Window.partitionBy("project_name").orderBy("_f", "pattern_id"))
-    rare = sets.join(common, "pattern_id").join(sizes, "project_name").withColumn("_i", ranked).where(F.col("_i") <= F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1)
-    rare = materialize(rare.select("pattern_id", "project_name", "n"), "rare")
-    a, b = rare.select("pattern_id", F.col("project_name").alias("a"), F.col("n").alias("_na")), rare.select("pattern_id", F.col("project_name").alias("b"), F.col("n").alias("_nb"))
+    sets = materialize(membership.select(F.col(item).alias("_item"), F.col(holder).alias("_holder")).distinct(), "sets")
+    sizes = sets.groupBy("_holder").agg(F.count("*").alias("n"))
+    common = sets.groupBy("_item").agg(F.count("*").alias("_f"))
+    ranked = F.row_number().over(Window.partitionBy("_holder").orderBy("_f", "_item"))
+    rare = sets.join(common, "_item").join(sizes, "_holder").withColumn("_i", ranked).where(F.col("_i") <= F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1)
+    rare = materialize(rare.select("_item", "_holder", "n"), "rare")
+    a, b = rare.select("_item", F.col("_holder").alias("a"), F.col("n").alias("_na")), rare.select("_item", F.col("_holder").alias("b"), F.col("n").alias("_nb"))
     near = F.least("_na", "_nb") >= F.greatest("_na", "_nb") * F.lit(least)
-    candidates = a.join(b, "pattern_id").where((F.col("a") < F.col("b")) & near).select("a", "b", "_na", "_nb").distinct()
-    held = sets.select("pattern_id", F.col("project_name").alias("a")), sets.select("pattern_id", F.col("project_name").alias("b"))
-    shared = candidates.join(held[0], "a").join(held[1], ["b", "pattern_id"]).groupBy("a", "b", "_na", "_nb").agg(F.count("*").alias("shared"))
+    candidates = a.join(b, "_item").where((F.col("a") < F.col("b")) & near).select("a", "b", "_na", "_nb").distinct()
+    held = sets.select("_item", F.col("_holder").alias("a")), sets.select("_item", F.col("_holder").alias("b"))
+    shared = candidates.join(held[0], "a").join(held[1], ["b", "_item"]).groupBy("a", "b", "_na", "_nb").agg(F.count("*").alias("shared"))
     jac = F.col("shared") / (F.col("_na") + F.col("_nb") - F.col("shared"))
-    return shared.select("a", "b", "shared", F.round(jac, 6).alias("jaccard")).where(jac > least)
+    return shared.select("a", "b", "shared", F.round(jac, 6).alias("jaccard")).where(jac > least if strict else jac >= least)
+
+
+def project_similarity(links: DataFrame, least: float = 0.3) -> DataFrame:
+    """``a, b, shared, jaccard`` for pairs of projects whose pattern sets overlap."""
+    return similar_sets(links, "pattern_id", "project_name", least)
+
+
+def pattern_classes(links: DataFrame) -> DataFrame:
+    """``id, class_id``: patterns found in exactly the same projects form a class, named by its smallest id.
+
+    A set of projects is known by the number and the sum of the hashes of its members, so that no list is gathered.
+    """
+    sets = links.select("pattern_id", "project_name").distinct().groupBy(F.col("pattern_id").alias("id")).agg(
+        F.count("*").alias("_n"), F.sum(F.xxhash64("project_name").cast("decimal(38,0)")).alias("_h"), F.sum(F.xxhash64(F.lit(7), "project_name").cast("decimal(38,0)")).alias("_g")
+    )
+    sets = materialize(sets, "sets")
+    names = sets.groupBy("_n", "_h", "_g").agg(F.min("id").alias("class_id"))
+    return sets.join(names, ["_n", "_h", "_g"]).select("id", "class_id")
+
+
+def cooccurring(links: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Patterns that occur together: classes of patterns with equal projects (``id, class_id``), and ``a, b, shared, jaccard``
+    for classes (by their names) whose projects overlap by at least ``least``. Patterns of one class overlap wholly; they are not paired."""
+    classes = materialize(pattern_classes(links), "classes")
+    named = classes.where("id = class_id").select("class_id")
+    rows = links.select("pattern_id", "project_name").join(named, F.col("pattern_id") == F.col("class_id"), "left_semi")
+    return classes, similar_sets(rows, "project_name", "pattern_id", least, strict=False)
+
+
+def pattern_clusters(links: DataFrame, least: float = 0.5) -> DataFrame:
+    """``id, cluster``: patterns linked over any chain of patterns that occur together, named by the smallest id; patterns alone in theirs are left out."""
+    classes, pairs = cooccurring(links, least)
+    found = connected_components(pairs, "a", "b").select(F.col("id").alias("class_id"), "component")
+    rows = materialize(classes.join(found, "class_id", "left").select("id", F.coalesce("component", "class_id").alias("cluster")), "clusters")
+    several = rows.groupBy("cluster").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("cluster")
+    return rows.join(several, "cluster", "left_semi").select("id", "cluster")
 
 
 def recommend(patterns: DataFrame, links: DataFrame, similarity: DataFrame, most: int = 5) -> DataFrame:

@@ -116,6 +116,19 @@ def call_chains_from(spark: SparkSession, d: str) -> DataFrame:
     return g.chains_from(calls, calls.select("src").where(F.conv(F.substring(F.md5("src"), 1, 8), 16, 10).cast("long") % 20 == 0), 5, 10)
 
 
+def file_impact(spark: SparkSession, d: str) -> DataFrame:
+    """For every file, its nodes and what depends on them from other files: edges, distinct nodes and distinct files."""
+    e, n = graph(spark, d)
+    place = n.where("file is not null").select("id", "file")
+    used = e.where(F.col("rel_type").isin(g.DEPENDENCY_TYPES)).join(place.select(F.col("id").alias("dst"), "file"), "dst").join(place.select(F.col("id").alias("src"), F.col("file").alias("from_file")), "src").where("from_file <> file")
+    # counted per dependent node and file first, so that a hub's edges are combined before they meet
+    nodes_in = used.groupBy("file", "src").agg(F.count("*").alias("edges"), F.first("from_file").alias("from_file"))
+    files_in = nodes_in.groupBy("file", "from_file").agg(F.sum("edges").alias("edges"), F.count("*").alias("nodes"))
+    per = files_in.groupBy("file").agg(F.sum("edges").alias("edges"), F.sum("nodes").alias("dependents"), F.count("*").alias("files"))
+    own = place.groupBy("file").agg(F.count("*").alias("nodes"))
+    return own.join(per, "file", "left").fillna(0)
+
+
 def count_nodes(spark: SparkSession, d: str) -> DataFrame:
     return nodes(spark, d).groupBy("node_type").agg(F.count("*").alias("n"))
 
@@ -176,7 +189,7 @@ QUERIES = {name: _hop(*args) for name, args in HOPS.items()} | {
     f.__name__: f
     for f in (
         merged_edges, dependencies, dependents, file_contents, transitive_callers, impact_score, node_degrees, connection_tiers, blast_radius, trace_flow, call_chains, call_chains_from,
-        count_nodes, count_relationships, names_shared, cross_file_calls, elements_with_context,
+        file_impact, count_nodes, count_relationships, names_shared, cross_file_calls, elements_with_context,
     )
 }
 ORACLES = {name: _hop_sql(*args) for name, args in HOPS.items()} | {
@@ -203,6 +216,9 @@ ORACLES = {name: _hop_sql(*args) for name, args in HOPS.items()} | {
   WHERE a.dst <> p.dst AND b.dst <> p.dst AND b.dst <> p.src AND a.dst <> p.src)
  SELECT src, dst, CAST(hops AS INTEGER) AS hops, path FROM w QUALIFY row_number() OVER (PARTITION BY src, dst ORDER BY hops, path) <= 10""").replace(") , c AS", "), c AS"),
     "call_chains_from": over("nd", "raw", "ed", then=_CHAINS).replace(") , c AS", "), c AS"),
+    "file_impact": over("nd", "raw", "ed", then="""@, u AS (SELECT b.file, a.file AS from_file, e.src FROM ed e JOIN nd a ON a.id = e.src JOIN nd b ON b.id = e.dst WHERE e.rel_type <> 'CONTAINS' AND a.file <> b.file),
+ p AS (SELECT file, count(*) AS edges, count(DISTINCT src) AS dependents, count(DISTINCT from_file) AS files FROM u GROUP BY 1)
+ SELECT o.file, o.nodes, coalesce(edges, 0) AS edges, coalesce(dependents, 0) AS dependents, coalesce(files, 0) AS files FROM (SELECT file, count(*) AS nodes FROM nd WHERE file IS NOT NULL GROUP BY 1) o LEFT JOIN p USING (file)""").replace(" @,", ","),
     "count_nodes": over("nd", then="SELECT node_type, count(*) AS n FROM nd GROUP BY 1"),
     "count_relationships": over("nd", "raw", "ed", then="SELECT k.rel_type, count(ed.src) AS n FROM (VALUES ('CALLS'), ('IMPORTS'), ('INHERITS'), ('CONTAINS'), ('USES')) k(rel_type) LEFT JOIN ed USING (rel_type) GROUP BY 1"),
     "names_shared": over("nd", then="SELECT name, count(*) AS n, min(id) AS first_id FROM nd WHERE name IS NOT NULL GROUP BY 1 HAVING count(*) > 1"),

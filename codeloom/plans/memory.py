@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators import memory as m
-from codeloom.operators.graph import first_per
+from codeloom.operators.graph import first_per, numbered
 from codeloom.plans.sql import over
 from codeloom.session import materialize, table
 from codeloom.sources.tables import interactions, pattern_links, patterns
@@ -53,7 +53,8 @@ def patterns_ranked(spark: SparkSession, d: str) -> DataFrame:
 
 def pattern_projects_listed(spark: SparkSession, d: str) -> DataFrame:
     """Each pattern with its projects, most occurrences first."""
-    return first_per(pattern_links(spark, d).drop("first_seen"), ["pattern_id"], [F.desc("occurrences"), "project_name"], 2**31 - 1)
+    rows = pattern_links(spark, d).select("pattern_id", "project_name", "occurrences", (-F.col("occurrences").cast("long")).alias("_fewer"), F.col("occurrences").isNull().alias("_none"))
+    return numbered(rows, ["pattern_id"], ["_none", "_fewer", "project_name"]).drop("_fewer", "_none")
 
 
 def pattern_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -96,14 +97,48 @@ def _then(*names: str, then: str) -> str:
     return over(*names, then="@" + then).replace(" @,", ",").replace(" @", " ")
 
 
+def pattern_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of pattern classes (equal projects, named by the smallest id) that share at least half of their projects."""
+    return m.cooccurring(pattern_links(spark, d))[1]
+
+
+def pattern_classes(spark: SparkSession, d: str) -> DataFrame:
+    return m.pattern_classes(pattern_links(spark, d))
+
+
+def pattern_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return m.pattern_clusters(pattern_links(spark, d))
+
+
+def pattern_partners(spark: SparkSession, d: str) -> DataFrame:
+    """The five other classes that occur most together with each class of patterns (a top-k report)."""
+    pairs = materialize(m.cooccurring(pattern_links(spark, d))[1], "pairs")
+    both = pairs.select(F.col("a").alias("class_id"), F.col("b").alias("other"), "shared", "jaccard").unionByName(pairs.select(F.col("b").alias("class_id"), F.col("a").alias("other"), "shared", "jaccard"))
+    return first_per(both, ["class_id"], [F.desc("jaccard"), "other"], 5)
+
+
+_CO = """@, ps AS (SELECT pattern_id AS id, list_sort(list(DISTINCT project_name)) AS p FROM pl GROUP BY 1), cl AS (SELECT id, p, min(id) OVER (PARTITION BY p) AS class_id FROM ps), rp AS (SELECT id, p FROM cl WHERE id = class_id),
+ co AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.p, b.p)) AS shared, round(len(list_intersect(a.p, b.p)) / (len(a.p) + len(b.p) - len(list_intersect(a.p, b.p))), 6) AS jaccard FROM rp a JOIN rp b ON a.id < b.id
+  WHERE len(list_intersect(a.p, b.p)) * 2 >= len(a.p) + len(b.p) - len(list_intersect(a.p, b.p)))"""
+
+
+def _on_co(then: str, recursive: bool = False) -> str:
+    return over("pl", then=_CO + then, recursive=recursive).replace(" @,", ",")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         cross_project_patterns, category_summary, unique_patterns, pattern_evolution, project_similarity, recommend_patterns, style_consistency, project_consistency,
-        patterns_ranked, pattern_projects_listed, pattern_counts, interaction_stats, interactions_recent, project_profiles, pattern_confidence_bands,
+        patterns_ranked, pattern_projects_listed, pattern_counts, interaction_stats, interactions_recent, project_profiles, pattern_confidence_bands, pattern_cooccurrence, pattern_classes, pattern_clusters, pattern_partners,
     )
 }
 ORACLES = {
+    "pattern_cooccurrence": _on_co(" SELECT a, b, shared, jaccard FROM co"),
+    "pattern_classes": _on_co(" SELECT id, class_id FROM cl"),
+    "pattern_partners": _on_co(", u AS (SELECT a AS class_id, b AS other, shared, jaccard FROM co UNION ALL SELECT b, a, shared, jaccard FROM co) SELECT *, CAST(row_number() OVER (PARTITION BY class_id ORDER BY jaccard DESC, other) AS INTEGER) AS position FROM u QUALIFY position <= 5"),
+    "pattern_clusters": _on_co(""", e AS (SELECT a, b FROM co UNION SELECT b, a FROM co), w AS (SELECT id, id AS far FROM rp UNION SELECT w.id, e.b FROM w JOIN e ON e.a = w.far),
+ k AS (SELECT id, min(far) AS cluster FROM w GROUP BY 1), x AS (SELECT cl.id, k.cluster, count(*) OVER (PARTITION BY k.cluster) AS n FROM cl JOIN k ON k.id = cl.class_id) SELECT id, cluster FROM x WHERE n > 1""", recursive=True),
     "cross_project_patterns": over("pt", "pl", then="SELECT id, name, category, projects, CAST(occurrences AS BIGINT) AS occurrences FROM pt JOIN (SELECT pattern_id AS id, count(*) AS projects, sum(occurrences) AS occurrences FROM pl GROUP BY 1) USING (id) WHERE projects >= 2"),
     "category_summary": over("pt", then="""SELECT category, count(*) AS patterns, CAST(sum(occurrence_count) AS BIGINT) AS occurrences, round(avg(confidence_score), 10) AS confidence,
  (SELECT string_agg(id, ',' ORDER BY n) FROM (SELECT id, row_number() OVER (ORDER BY occurrence_count DESC NULLS LAST, id) AS n FROM pt x WHERE x.category IS NOT DISTINCT FROM pt.category) WHERE n <= 3) AS top FROM pt GROUP BY category"""),
