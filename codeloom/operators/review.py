@@ -157,9 +157,21 @@ def summary(findings: DataFrame, *by: str) -> DataFrame:
     return findings.groupBy(*by).agg(*counts).withColumn("blocking", F.col("critical") > 0)
 
 
+def _level(severity: Column) -> Column:
+    return F.when(severity.isin("critical", "high"), "error").when(severity.isin("suggestion", "praise", "low", "info"), "note").otherwise("warning")
+
+
+def sarif_rules(findings: DataFrame) -> DataFrame:
+    """One SARIF 2.1.0 rule per rule that has an active finding, as JSON text, at its gravest level, with the number of its results."""
+    order = F.array(*map(F.lit, ["note", "warning", "error"]))
+    live = findings.where("not suppressed").groupBy("rule_id").agg(F.max(F.array_position(order, _level(F.col("severity")))).alias("_l"), F.count("*").alias("results"))
+    rule = F.struct(F.col("rule_id").alias("id"), F.struct(F.element_at(order, F.col("_l").cast("int")).alias("level")).alias("defaultConfiguration"))
+    return live.select("rule_id", "results", F.to_json(rule).alias("rule"))
+
+
 def sarif(findings: DataFrame) -> DataFrame:
     """One SARIF 2.1.0 result per active finding, as JSON text."""
-    level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity").isin("suggestion", "praise", "low", "info"), "note").otherwise("warning")
+    level = _level(F.col("severity"))
     where = F.struct(F.struct(F.struct(F.col("id").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine")).alias("region")).alias("physicalLocation"))
     result = F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.col("rule_id").alias("text")).alias("message"), F.array(where).alias("locations"))
     return findings.where("not suppressed").select("id", "line", "rule_id", F.to_json(result).alias("result"))

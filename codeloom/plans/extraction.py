@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators import extract as x
-from codeloom.operators.graph import DEPENDENCY_TYPES, neighbours
-from codeloom.plans.graph import graph
+from codeloom.operators.graph import DEPENDENCY_TYPES, degrees, neighbours
+from codeloom.plans.graph import _DEG, graph
 from codeloom.plans.review import _on_counts, security_counts
 from codeloom.plans.sql import over
 from codeloom.session import materialize, table
-from codeloom.sources.tables import elements, language_name
+from codeloom.sources.tables import elements, language_name, patterns
 
 
 def calls_by_text(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +31,25 @@ def element_mentions(spark: SparkSession, d: str) -> DataFrame:
     return x.mentions(table(spark, d, "documents"), "doc_id", "text", elements(spark, d, "name", "file", "line_start"))
 
 
+def named_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Elements whose exact name stands in a text, scored by all terms of confidence.
+
+    confidence = 0.30 similarity (1 for an exact name) + 0.20 centrality + 0.20 overlap of names (1) + 0.15 pattern
+    (the confidence of a pattern of that name + 0.3, at most 1; else 0.3) + 0.15 recency of the element.
+    """
+    e, n = graph(spark, d)
+    rows = materialize(elements(spark, d, "name", "file", "line_start", "updated_at"), "elements")
+    hits = x.mentions(table(spark, d, "documents"), "doc_id", "text", rows)
+    newest = rows.agg(F.max("updated_at")).first()[0]
+    days = F.timestamp_diff("DAY", F.col("updated_at"), F.lit(newest).cast("timestamp_ntz"))
+    recency = F.when(days.isNull(), 0.5).when(days < 7, 1.0).when(days < 30, 0.8).when(days < 90, 0.6).when(days < 365, 0.4).otherwise(0.1)
+    known = patterns(spark, d, "name", "confidence_score").groupBy(F.lower("name").alias("_name")).agg(F.max(F.coalesce("confidence_score", F.lit(0.5))).alias("_p"))
+    facts = rows.select("id", "file", F.lower("name").alias("_name"), recency.alias("_r")).join(degrees(e, n).select("id", "centrality"), "id", "left").join(known, "_name", "left")
+    score = 0.30 + 0.20 * F.coalesce("centrality", F.lit(0.0)) + 0.20 + 0.15 * F.when(F.col("_p").isNull(), 0.3).otherwise(F.least(F.lit(1.0), F.col("_p") + 0.3)) + 0.15 * F.col("_r")
+    tier = F.when(F.col("_s") > 0.7, "high").when(F.col("_s") > 0.4, "medium").otherwise("low")
+    return hits.join(facts, "id").withColumn("_s", score).select("doc_id", "word", "id", "file", F.round("_s", 3).alias("confidence"), tier.alias("tier"))
+
+
 def structure_stats(spark: SparkSession, d: str) -> DataFrame:
     return x.structures(elements(spark, d, "language", **x.structure_marks()))
 
@@ -83,7 +102,7 @@ def findings_silenced(spark: SparkSession, d: str) -> DataFrame:
 
 _FIRST = "(SELECT {name} AS called, arg_min(id, (file, line_start, id)) AS dst FROM el WHERE name IS NOT NULL GROUP BY 1)"
 _WORDS = ", ".join(f"'{k}'" for k in x.KEYWORDS)
-QUERIES = {f.__name__: f for f in (calls_by_text, inheritance_by_text, function_ranges, element_mentions, structure_stats, context_once, import_edges, contains_edges, trait_edges, text_checks, text_complexity, findings_silenced)}
+QUERIES = {f.__name__: f for f in (calls_by_text, inheritance_by_text, function_ranges, element_mentions, structure_stats, context_once, named_hits, import_edges, contains_edges, trait_edges, text_checks, text_complexity, findings_silenced)}
 _BARE = """regexp_replace(code, '"(?:\\\\.|[^"\\\\\n])*"|''(?:\\\\.|[^''\\\\\n]){many}''|`[^`]*`|//[^\n]*|/\\*[\\s\\S]*?\\*/', ' ', 'g')"""
 _SPENT = f"""@, cx AS (SELECT id, 1 + len(CASE language WHEN 'rust' THEN regexp_extract_all({_BARE.format(many="")}, '\\b(?:if|while|for|loop)\\b|=>') WHEN 'go' THEN regexp_extract_all({_BARE.format(many="")}, '\\b(?:if|for|case|select)\\b')
  WHEN 'javascript' THEN regexp_extract_all({_BARE.format(many="*")}, '\\b(?:if|for|while|case)\\b|\\s\\?\\s') WHEN 'typescript' THEN regexp_extract_all({_BARE.format(many="*")}, '\\b(?:if|for|while|case)\\b|\\s\\?\\s') END) AS complexity, el.* EXCLUDE (id) FROM el)"""
@@ -108,6 +127,12 @@ ORACLES = {
     "contains_edges": over("el", then="""@, r AS (SELECT * FROM el WHERE file IS NOT NULL AND type <> 'file'), c AS (SELECT file, split_part(name, '.', -1) AS owner, arg_min(id, (line_start, id)) AS class_id FROM r WHERE type IN ('class', 'struct') AND name IS NOT NULL GROUP BY 1, 2),
  m AS (SELECT r.id, r.file, CASE WHEN c.class_id <> r.id THEN c.class_id END AS own FROM r LEFT JOIN c ON c.file = r.file AND c.owner = CASE WHEN contains(r.name, '.') THEN split_part(r.name, '.', -2) END)
  SELECT coalesce(own, sha256('file:' || file)[:16]) AS source_id, id AS target_id, CASE WHEN own IS NULL THEN 'file' ELSE 'class' END AS container FROM m""").replace(" @,", ","),
+    "named_hits": over("nd", "raw", "ed", "el", "pt", then=_DEG + f""", n AS {_FIRST.format(name="name")}, w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.]{{2,}}')) AS word FROM documents WHERE text IS NOT NULL),
+ h AS (SELECT DISTINCT doc_id, word, dst AS id FROM w JOIN n ON n.called = w.word), m AS (SELECT max(updated_at) AS m FROM el), kp AS (SELECT lower(name) AS name, max(coalesce(confidence_score, 0.5)) AS p FROM pt GROUP BY 1),
+ x AS (SELECT doc_id, word, id, file, 0.5::DOUBLE + 0.2::DOUBLE * least(1.0::DOUBLE, coalesce(callers + callees + dependencies + dependents, 0) / 10.0) + 0.15::DOUBLE * CASE WHEN p IS NULL THEN 0.3 ELSE least(1.0::DOUBLE, p + 0.3) END
+ + 0.15::DOUBLE * CASE WHEN updated_at IS NULL THEN 0.5 WHEN m - updated_at < INTERVAL 7 DAY THEN 1.0 WHEN m - updated_at < INTERVAL 30 DAY THEN 0.8 WHEN m - updated_at < INTERVAL 90 DAY THEN 0.6 WHEN m - updated_at < INTERVAL 365 DAY THEN 0.4 ELSE 0.1 END::DOUBLE AS s
+ FROM h JOIN el USING (id) LEFT JOIN deg USING (id) LEFT JOIN kp ON kp.name = lower(el.name), m)
+ SELECT doc_id, word, id, file, round(s, 3) AS confidence, CASE WHEN s > 0.7 THEN 'high' WHEN s > 0.4 THEN 'medium' ELSE 'low' END AS tier FROM x""").replace(") , inc AS", "), inc AS"),
     "trait_edges": over("el", then="""@, i AS (SELECT DISTINCT split_part(unnest(regexp_extract_all(code, '\\bimpl(?:\\s*<[^>]*>)?\\s+([A-Za-z0-9_:]+)(?:<[^>]*>)?\\s+for\\s+([A-Za-z0-9_]+)', 1)), '::', -1) AS base,
  unnest(regexp_extract_all(code, '\\bimpl(?:\\s*<[^>]*>)?\\s+([A-Za-z0-9_:]+)(?:<[^>]*>)?\\s+for\\s+([A-Za-z0-9_]+)', 2)) AS of FROM el WHERE language = 'rust'), n AS (SELECT name, min(id) AS child FROM el WHERE type IN ('struct', 'enum', 'class') GROUP BY 1)
  SELECT DISTINCT child, base FROM i JOIN n ON n.name = i.of""").replace(" @,", ","),

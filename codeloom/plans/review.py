@@ -205,6 +205,10 @@ def review_sarif(spark: SparkSession, d: str) -> DataFrame:
     return r.sarif(materialize(reviewed(spark, d), "findings"))
 
 
+def review_sarif_rules(spark: SparkSession, d: str) -> DataFrame:
+    return r.sarif_rules(materialize(reviewed(spark, d), "findings"))
+
+
 def style_matches(spark: SparkSession, d: str) -> DataFrame:
     return _styles(spark, d)
 
@@ -312,7 +316,7 @@ QUERIES = {
     for f in (
         latest_elements, elements_by_name, elements_in_file, language_stats, index_stats, type_counts, detect_languages, directory_stats, changed_files, content_ids, embedding_text,
         kept_elements, long_lines, todo_markers, high_nesting, long_functions, line_counts, deep_nesting, very_long_functions, ignore_comments, security_counts, security_findings, security_report, risk_scores, recency_bands, inline_suppressions, review_findings,
-        review_summary, review_sarif, style_matches, style_aggregate, learned_styles, style_cooccurrence, baseline_stats, style_deviations,
+        review_summary, review_sarif, review_sarif_rules, style_matches, style_aggregate, learned_styles, style_cooccurrence, baseline_stats, style_deviations,
     )
 }
 ORACLES = {
@@ -343,6 +347,8 @@ ORACLES = {
     "review_summary": _on_found(_REVIEWED + " SELECT file, " + ", ".join(f"count(*) FILTER (WHERE severity = '{s}' AND NOT suppressed) AS {s}" for s in ("critical", "high", "medium", "low", "info")) + ", count(*) FILTER (WHERE severity = 'critical' AND NOT suppressed) > 0 AS blocking FROM rf JOIN el USING (id) GROUP BY file"),
     "review_sarif": _on_found(_REVIEWED + """ SELECT id, line, rule_id, '{"ruleId":"' || rule_id || '","level":"' || CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity IN ('low', 'info') THEN 'note' ELSE 'warning' END
  || '","message":{"text":"' || rule_id || '"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || id || '"},"region":{"startLine":' || line || '}}}]}' AS result FROM rf WHERE NOT suppressed"""),
+    "review_sarif_rules": _on_found(_REVIEWED + """, lv AS (SELECT rule_id, CASE WHEN severity IN ('critical', 'high') THEN 3 WHEN severity IN ('low', 'info') THEN 1 ELSE 2 END AS l FROM rf WHERE NOT suppressed)
+ SELECT rule_id, count(*) AS results, '{"id":"' || rule_id || '","defaultConfiguration":{"level":"' || ['note', 'warning', 'error'][max(l)] || '"}}' AS rule FROM lv GROUP BY rule_id"""),
     "embedding_text": over("el", then=f"""@, tx AS (SELECT id, {_TEXT} AS t FROM el), st AS (SELECT id, t, CASE WHEN trim(t, {_BLANK}) = '' THEN 'empty' ELSE trim(t, {_BLANK}) END AS s FROM tx),
  pt AS (SELECT *, string_split(s, chr(10) || 'Code:' || chr(10)) AS p FROM st), rm AS (SELECT *, 8000 - 7 - 30 - length(p[1]) AS room FROM pt)
  SELECT id, CAST(length(t) AS INTEGER) AS length, sha256(t) AS digest, sha256(CASE WHEN length(s) <= 8000 THEN s WHEN len(p) < 2 THEN s[:7980] || chr(10) || '... [truncated]'

@@ -28,6 +28,11 @@ def test_incremental_index(spark, tmp_path):
     spark.createDataFrame([("a", 1, D(2024, 1, 1)), ("b", 1, D(2024, 1, 1))], schema).write.parquet(str(tmp_path / "in"))
     spark.createDataFrame([("a", 2, D(2024, 2, 1)), ("a", 0, D(2023, 1, 1))], schema).write.mode("append").parquet(str(tmp_path / "in"))
     assert rows(incremental_index(spark, str(tmp_path / "in"), schema, ["id"], "at"), "id", "v") == [("a", 2), ("b", 1)]
+    base = str(tmp_path / "index")
+    first = incremental_index(spark, str(tmp_path / "in"), schema, ["id"], "at", base, 4)
+    assert rows(first, "id", "v") == [("a", 2), ("b", 1)]
+    spark.createDataFrame([("c", 5, D(2024, 1, 1)), ("b", 3, D(2024, 3, 1)), ("a", 9, D(2020, 1, 1)), (None, 1, D(2024, 1, 1))], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    assert rows(incremental_index(spark, str(tmp_path / "in"), schema, ["id"], "at", base, 4), "id", "v") == [("a", 2), ("b", 3), ("c", 5)]
     write_table(spark.createDataFrame([("a", 1)], "k string, v int"), str(tmp_path / "out"), ["k"])
     write_table(spark.createDataFrame([("b", 2)], "k string, v int"), str(tmp_path / "out"), ["k"])
     assert rows(spark.read.parquet(str(tmp_path / "out")), "k", "v") == [("a", 1), ("b", 2)]
