@@ -89,13 +89,18 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p6_found": p6_found, "p6_pairs": p6_pairs, "p3_found": p3_found, "p3_redacted": p3_redacted, "p9_found": p9_found, "p9_restored": p9_restored, "p2_found": p2_found, "p2_groups": p2_groups}
 
-_ALIKE = """
-WITH e AS (SELECT id, arg_max(coalesce(name, '') || ' ' || code, updated_at) AS t FROM code_elements WHERE type IN ('function', 'method') AND code IS NOT NULL GROUP BY id),
+_PAIRS = """ e AS (SELECT id, arg_max(coalesce(name, '') || ' ' || code, updated_at) AS t FROM code_elements WHERE type IN ('function', 'method') AND code IS NOT NULL GROUP BY id),
 w AS (SELECT id, list_transform(regexp_extract_all(t, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM e),
 s AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 20),
 n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
-o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
-SELECT id_a, id_b FROM o JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE o * 10 >= 6 * (x.n + y.n - o)"""
+o AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+p AS (SELECT id_a, id_b, o = x.n AND o = y.n AS same FROM o JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE o * 10 >= 6 * (x.n + y.n - o))"""
+_ALIKE = "WITH" + _PAIRS + " SELECT id_a, id_b FROM p"
+_GROUPS = "WITH RECURSIVE" + _PAIRS + """,
+c AS (SELECT n.id, least(n.id, coalesce(min(id_a), n.id)) AS class_id FROM n LEFT JOIN p ON p.id_b = n.id AND same GROUP BY n.id),
+k AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM (SELECT id_a, id_b FROM p UNION ALL SELECT id_b, id_a FROM p) JOIN c x ON x.id = id_a JOIN c y ON y.id = id_b WHERE x.class_id <> y.class_id),
+r AS (SELECT DISTINCT class_id AS id, class_id AS far FROM c UNION SELECT r.id, k.b FROM r JOIN k ON k.a = r.far)
+SELECT c.id, c.class_id, (SELECT min(far) FROM r WHERE r.id = c.class_id) AS group_id, (SELECT count(*) FROM k WHERE k.a = c.class_id) AS n_links FROM c"""
 
 _LEAKED = """
 WITH d AS (SELECT DISTINCT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
@@ -111,4 +116,4 @@ s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS s FROM v
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS n FROM s)
 SELECT DISTINCT least(a, b) AS pattern_a, greatest(a, b) AS pattern_b FROM r WHERE n <= 5 AND s >= 0.8"""
 
-ORACLES: dict[str, str] = {"p1_found": _SIMILAR, "p2_found": _ALIKE, "p7_found": _LEAKED}
+ORACLES: dict[str, str] = {"p1_found": _SIMILAR, "p2_found": _ALIKE, "p2_groups": _GROUPS, "p7_found": _LEAKED}
