@@ -135,54 +135,42 @@ def _offers(batches: Iterator[pa.RecordBatch], threshold: float, blocks: int) ->
     """Slices of inverted lists for the records that merge them, over rows sorted by (token, cell, size, key).
 
     A record gets the members before it that are not too small for it, per block of partners and in
-    order. Held is only the stretch of a list whose sizes still matter; in a cell of its own
-    a split list shows one block of members to all records that ask.
+    order, all lists of a batch at once. Held on to is only the stretch of the last list whose sizes still matter;
+    in a cell of its own a split list shows one block of members to all records that ask.
     """
-    cell, size, key = None, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    asks, parts, home, lists = [], [], [], []
-
-    def flush() -> pa.RecordBatch:
-        ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-        values = np.concatenate(lists) if lists else np.zeros(0, dtype=np.int64)
-        out = [pa.array(asks, pa.int64()), pa.array(parts, pa.int32()), pa.array(home, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))]
-        return pa.RecordBatch.from_arrays(out, ["key", "block", "token", "partners"])
-
+    held = None  # token, cell, sizes and keys of the list that goes on
     for b in batches:
         t, c, n, k = (b.column(x).to_numpy() for x in ("token", "cell", "size", "key"))
         query, member = (b.column(x).to_numpy(zero_copy_only=False) for x in ("query", "member"))
-        cuts = np.flatnonzero((t[1:] != t[:-1]) | (c[1:] != c[:-1])) + 1
-        room = 0
-        for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(t)]):
-            if s == e:
-                continue
-            if (t[s], c[s]) != cell:
-                cell, size, key = (t[s], c[s]), size[:0], key[:0]
-            on = member[s:e]
-            size, key, had = np.concatenate([size, n[s:e][on]]), np.concatenate([key, k[s:e][on]]), len(size) + np.cumsum(on) - on
-            for i in np.flatnonzero(query[s:e]):
-                lo, hi = np.searchsorted(size, n[s + i] * threshold - 1e-9), had[i]
-                if lo >= hi:
-                    continue
-                some = np.sort(key[lo:hi])
-                if blocks == 1:
-                    cut = [some]
-                else:
-                    of = _block(some, blocks)
-                    cut = [some[of == x] for x in np.unique(of)]
-                for part in cut:
-                    asks.append(k[s + i])
-                    parts.append(int(_block(part[:1], blocks)[0]))
-                    home.append(t[s])
-                    lists.append(part)
-                    room += len(part)
-                if room > 500_000:
-                    yield flush()
-                    asks, parts, home, lists, room = [], [], [], [], 0
-            keep = np.searchsorted(size, n[e - 1] * threshold - 1e-9)
-            size, key = size[keep:], key[keep:]
-        if asks:
-            yield flush()
-            asks, parts, home, lists = [], [], [], []
+        if not len(t):
+            continue
+        if held and held[:2] == (t[0], c[0]):
+            more = len(held[2])
+            t, c = np.r_[np.full(more, t[0]), t], np.r_[np.full(more, c[0]), c]
+            n, k = np.r_[held[2], n], np.r_[held[3], k]
+            query, member = np.r_[np.zeros(more, dtype=bool), query], np.r_[np.ones(more, dtype=bool), member]
+        cell = np.cumsum(np.r_[0, (t[1:] != t[:-1]) | (c[1:] != c[:-1])]).astype(np.int64) << 32
+        place, keys, had = (cell | n)[member], k[member], np.cumsum(member) - member
+        ask = np.flatnonzero(query)
+        lo = np.searchsorted(place, cell[ask] | np.ceil(n[ask] * threshold - 1e-9).astype(np.int64))
+        some = lo < had[ask]
+        ask, lo, length = ask[some], lo[some], (had[ask] - lo)[some]
+        part = np.cumsum(length) // 500_000
+        for x in range(int(part[-1]) + 1 if len(part) else 0):
+            on = part == x
+            rows, first, size = ask[on], lo[on], length[on]
+            if len(rows):
+                owner = np.repeat(np.arange(len(rows)), size)
+                value = keys[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                block = _block(value, blocks)
+                order = np.lexsort((value, block, owner))
+                owner, value, block = owner[order], value[order], block[order]
+                begin = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (block[1:] != block[:-1])])
+                of = rows[owner[begin]]
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(value)].astype(np.int32)), pa.array(value))
+                yield pa.RecordBatch.from_arrays([pa.array(k[of]), pa.array(block[begin].astype(np.int32)), pa.array(t[of]), lists], ["key", "block", "token", "partners"])
+        stay = member & (cell == cell[-1]) & (n >= n[-1] * threshold - 1e-9)
+        held = (t[-1], c[-1], n[stay], k[stay])
 
 
 def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
