@@ -58,7 +58,7 @@ def test_python_facts(spark):
     df = spark.createDataFrame([("f", code), ("bad", "def ("), ("none", None), ("empty", "")], "id string, code string")
     got = parsing.facts(df)
     assert rows(parsing.elements_of(got), "type", "name") == [("class", "Dog"), ("function", "fetch"), ("method", "add")]
-    assert {x.rule_id for x in parsing.findings_of(got).collect()} == {"PY-MUTABLE-DEFAULT", "PY-BARE-EXCEPT", "PY-MAGIC-NUM", "PY-MISSING-RETURN-TYPE"}
+    assert {x.rule_id for x in parsing.findings_of(got).collect()} == {"PY-MUTABLE-DEFAULT", "PY-BARE-EXCEPT", "PY-MAGIC-NUM", "PY-MISSING-RETURN-TYPE", "PY-UNUSED-IMPORT"}
     assert rows(got.where("kind in ('import', 'inherits')"), "kind", "name") == [("import", "a.b"), ("import", "os"), ("inherits", "Animal")]
     defs = spark.createDataFrame([("h2", "helper", "b.py", 1), ("h1", "helper", "a.py", 9)], "id string, name string, file string, line_start int")
     assert rows(parsing.resolve_calls(got, defs)) == [("f", "h1", 6)]
