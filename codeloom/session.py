@@ -59,6 +59,12 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores, where a small input lies in so few files that most cores would idle; larger ones stay as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def release(spark: SparkSession) -> int:
     """Remove the intermediate tables written so far, in a long session; results built on them must have been stored before. Returns how many."""
     paths, jvm = _WRITTEN.pop(spark.sparkContext.applicationId, []), spark.sparkContext._jvm

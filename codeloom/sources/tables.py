@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import clean_id
 from codeloom.operators.upsert import latest
-from codeloom.session import table
+from codeloom.session import spread, table
 
 
 def language_name(c: Column | str) -> Column:
@@ -54,7 +54,7 @@ def over_texts(spark: SparkSession, d: str, work: Callable[[DataFrame], DataFram
     if "language" in columns:
         rows = rows.withColumn("language", language_name("language"))
     last = _deliveries(spark, d, "updated_at").where("id.id is not null").groupBy(F.col("id.id").alias("_id")).agg(F.max_by("id.place", F.struct("updated_at", "id.place")).alias("_place"))
-    found = work(rows)
+    found = work(spread(rows))
     kept = found.join(last, (F.col("id.id") == F.col("_id")) & (F.col("id.place") == F.col("_place")), "left_semi")
     return kept.withColumn("id", F.col("id.id"))
 
