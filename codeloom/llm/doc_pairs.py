@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import spread
 from codeloom.llm.peg import Rule, State, balanced, either, many, maybe, rx, seq, span
 
 _NL = r"(?:\r\n|\r|\n)"
@@ -285,4 +286,4 @@ def doc_pairs(elements: DataFrame) -> DataFrame:
     documentation gives no row. The work is per row, so nothing is shuffled and no key can be hot.
     """
     rows = elements.where(F.col("type").isin("function", "method")).select("id", "language", "name", "signature", "code", "docstring")
-    return rows.mapInPandas(_pair_batches, _PAIR)
+    return spread(rows).mapInPandas(_pair_batches, _PAIR)

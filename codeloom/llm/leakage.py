@@ -22,6 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import spread
 from codeloom.llm.words import K, letters, mix, word_hashes
 
 _WORD = letters()
@@ -196,7 +197,7 @@ def leaked_items(
     never shuffled, whatever they hold. Items are the query set: they travel to the tasks in
     broadcasts of about ``block_bytes`` of text at most, and each block passes over the documents once.
     """
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null and doc_id is not null")
+    docs = spread(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("text is not null and doc_id is not null"))
     held = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text")).where("text is not null and item_id is not null").distinct()
     size = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.session import materialize
+from codeloom.session import materialize, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the byte-level vocabularies of 50,257 tokens split a text before merging.
@@ -64,7 +64,7 @@ def sized_texts(documents: DataFrame, tokenizer: str = TOKENIZER, goal: DataFram
     used (share and cap above zero) come first, then the smallest id: a text that several such
     sources share belongs to the source of its smallest id among them.
     """
-    rows = documents.select(
+    rows = spread(documents).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.trim("source")).alias("source"), F.sha2(F.col("text"), 256).alias("copy_of"), F.col("text").alias("text")
     ).where("text is not null and text <> '' and doc_id is not null")
     usable = F.lit(True)

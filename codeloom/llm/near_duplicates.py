@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from codeloom.operators.components import connected_components
 from codeloom.llm.words import K, letters, mix, word_hashes
-from codeloom.session import materialize
+from codeloom.session import materialize, spread
 
 PARTNER_BLOCK = 200_000  # partners that a task merges or holds of one list at a time
 LONG_LIST = 4096  # a list longer than this counts as long; its exact length no longer matters
@@ -300,6 +300,7 @@ def near_duplicates(
     merge itself. A link names the larger set first (of equal ones the larger key).
     """
     rows = records.select(F.col(id_col).alias("id"), text.alias("text"), (F.col(at) if at else F.lit(None).cast("timestamp_ntz")).alias("at")).where("id is not null and text is not null")
+    rows = spread(rows)
     id_type = dict(rows.dtypes)["id"]
     at_type = dict(rows.dtypes)["at"]
     members = rows.mapInArrow(partial(_members, n=shingle, min_tokens=min_tokens), f"id {id_type}, key long, size int, at {at_type}")

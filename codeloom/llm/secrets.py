@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.session import spread
+
 # Last words of names that hold a credential, and words that make a key one.
 CREDENTIAL_WORDS = {"password", "passwd", "passphrase", "passcode", "pass", "pwd", "pw", "secret", "secrets", "token", "credential", "credentials", "apikey", "pem", "authorization", "jwt", "bearer"}
 KEY_KINDS = {"api", "access", "secret", "service", "encryption", "deploy", "private", "signing", "auth", "master", "account", "client", "storage", "app", "crypto", "ssh", "license", "webhook", "session", "admin"}
@@ -418,7 +420,7 @@ def _mask_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _columns(elements: DataFrame) -> DataFrame:
-    return elements.select(*[F.col(c).cast("string").alias(c) for c in ("id", "code", "language", "file", "type")])
+    return spread(elements.select(*[F.col(c).cast("string").alias(c) for c in ("id", "code", "language", "file", "type")]))
 
 
 def find_secrets(elements: DataFrame) -> DataFrame:
