@@ -7,6 +7,7 @@ import heapq
 import numpy as np
 
 BITS = 38  # of a leaf key, for deeper splits
+PLANE_ROWS = 2048  # of a node, that its plane is fitted on
 
 
 class Forest:
@@ -14,29 +15,26 @@ class Forest:
 
     Inner nodes hold a hyperplane between two groups of sampled vectors. A leaf that holds
     too many of all rows is split further by random directions through its centre
-    (``deepen``), so that leaves stay small however many rows there are. Neighbouring leaves
-    form a grove, the unit that one task searches.
+    (``deepen``), so that leaves stay small however many rows there are. ``rows`` holds the
+    sampled rows of each leaf.
     """
 
-    def __init__(self, sample: np.ndarray, trees: int, leaf: int, seed: int = 42, grove: int = 0):
+    def __init__(self, sample: np.ndarray, trees: int, leaf: int, seed: int = 42):
         self.rng = np.random.default_rng(seed)
         self.dim = sample.shape[1]
         self.normals: list[np.ndarray] = []
         self.offsets: list[float] = []
         self.children: list[list[int]] = []  # an inner node, or -1 - leaf
         self.centres: list[np.ndarray] = []
-        self.groves: list[int] = []  # of each leaf
-        self.grove = max(leaf, grove)
-        self.n_groves = 0
+        self.rows: list[np.ndarray] = []
         self.roots = [self._grow(sample, np.arange(len(sample)), leaf) for _ in range(trees)]
         self.w = np.array(self.normals, dtype=np.float32).reshape(-1, self.dim)
         self.b = np.array(self.offsets, dtype=np.float32)
         self.c = np.array(self.centres, dtype=np.float32).reshape(-1, self.dim)
-        self.grove_of = np.array(self.groves, dtype=np.int64)
         self.extra: dict[int, int] = {}
         self.most: dict[int, int] = {}
         self.g = np.zeros((0, self.dim), dtype=np.float32)
-        del self.normals, self.offsets, self.centres, self.groves
+        del self.normals, self.offsets, self.centres
 
     def _split(self, x: np.ndarray) -> tuple[np.ndarray, float]:
         a, b = x[self.rng.choice(len(x), 2, replace=False)]
@@ -57,23 +55,19 @@ class Forest:
         normal /= np.linalg.norm(normal)
         return normal, float(np.median(x @ normal))
 
-    def _grow(self, x: np.ndarray, rows: np.ndarray, leaf: int, grove: int = -1, depth: int = 0) -> int:
-        if grove < 0 and len(rows) <= self.grove:
-            grove, self.n_groves = self.n_groves, self.n_groves + 1
+    def _grow(self, x: np.ndarray, rows: np.ndarray, leaf: int, depth: int = 0) -> int:
         if len(rows) > leaf and depth < 40:
-            normal, offset = self._split(x[rows])
+            normal, offset = self._split(x[rows if len(rows) <= PLANE_ROWS else self.rng.choice(rows, PLANE_ROWS, replace=False)])
             right = x[rows] @ normal > offset
             if right.any() and not right.all():
                 node = len(self.normals)
                 self.normals.append(normal)
                 self.offsets.append(offset)
                 self.children.append([0, 0])
-                self.children[node] = [self._grow(x, rows[~right], leaf, grove, depth + 1), self._grow(x, rows[right], leaf, grove, depth + 1)]
+                self.children[node] = [self._grow(x, rows[~right], leaf, depth + 1), self._grow(x, rows[right], leaf, depth + 1)]
                 return node
         self.centres.append(x[rows].mean(0) if len(rows) else np.zeros(self.dim))
-        if grove < 0:  # rows that no plane parts
-            grove, self.n_groves = self.n_groves, self.n_groves + 1
-        self.groves.append(grove)
+        self.rows.append(rows)
         return -1 - (len(self.centres) - 1)
 
     def own_leaves(self, x: np.ndarray) -> np.ndarray:
@@ -117,20 +111,32 @@ class Forest:
             self.g = np.concatenate([self.g, (g / np.linalg.norm(g, axis=1, keepdims=True)).astype(np.float32)])
         return bool(more)
 
-    def grove_keys(self, keys: np.ndarray, split: int) -> np.ndarray:
-        """The grove of each leaf key: a leaf split more than ``split`` times is spread over several groves of its own."""
-        leaf = keys >> BITS
-        over = np.zeros(len(self.c), dtype=np.int64)
-        for k, n in self.extra.items():
-            over[k] = max(0, n - split)
-        up = np.array([max(0, self.extra.get(k, 0) - n) for k, n in enumerate(over)], dtype=np.int64)
-        return np.where(over[leaf] > 0, (1 << 62) | (leaf << BITS) | ((keys & ((1 << BITS) - 1)) >> up[leaf]), self.grove_of[leaf])
+    def nearest(self, x: np.ndarray, leaves: int) -> np.ndarray:
+        """The leaves a priority queue over all trees reaches first (rows by leaves, in no order), before any deeper split.
 
-    def visits(self, x: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        The queue of ``visits`` reaches leaves by the worst margin on their way; here these are
+        worked out for all leaves and many rows at once.
+        """
+        leaves, out = min(leaves, len(self.c)), []
+        for c in range(0, len(x), 1024):
+            margin = self.w @ x[c : c + 1024].T - self.b[:, None]
+            worst = np.empty((len(self.c), margin.shape[1]), dtype=np.float32)
+            stack = [(r, np.full(margin.shape[1], -np.inf, dtype=np.float32)) for r in self.roots]
+            while stack:
+                node, bad = stack.pop()
+                if node < 0:
+                    worst[-1 - node] = bad
+                else:
+                    stack.append((self.children[node][0], np.maximum(bad, margin[node])))
+                    stack.append((self.children[node][1], np.maximum(bad, -margin[node])))
+            out.append(np.argpartition(np.ascontiguousarray(worst.T), leaves - 1, axis=1)[:, :leaves])
+        return np.concatenate(out)
+
+    def visits(self, x: np.ndarray, leaves: int, reach: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, leaf, own): the leaves each row visits, best first over all trees; its own ones come first.
 
-        The queue holds branches of every tree, ordered by the smallest margin on the way to
-        them. Leaf keys are leaf number * 2^BITS + the bits of the deeper splits.
+        The queue holds branches of every tree, ordered by the worst margin on the way to
+        them, and is left at ``leaves`` or where all margins left exceed ``reach``. Leaf keys are leaf number * 2^BITS + the bits of the deeper splits.
         """
         margin = x @ self.w.T - self.b
         deep = x @ self.g.T
@@ -145,6 +151,8 @@ class Forest:
             done = 0
             while queue and done < need:
                 bad, node, level, bits, own = heapq.heappop(queue)
+                if bad > reach:
+                    break
                 while True:
                     if node >= 0:
                         v = m[node]
